@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from cairnlog.llm.bpe import op6_bpe
 from cairnlog.llm.packing import op4_packing
+from cairnlog.llm.pii import op5_pii
+from cairnlog.llm.rules import op2_quality_rules
 from cairnlog.llm.sstable import op10_sstable
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op10_sstable": op10_sstable,
 }
