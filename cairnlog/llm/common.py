@@ -68,3 +68,16 @@ def lower_ascii(text: str) -> str:
 def fold(doc_id, modulus: int):
     """crc32(doc_id as text) mod `modulus`, as a column."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def labelled_sample(labels: DataFrame, label: str, per_class: int, where=None) -> DataFrame:
+    """(doc_id, y) of at most `per_class` labelled documents for each of 0 and 1, the first by a hash of doc_id.
+
+    One label a document (the largest, if there are several); null ids and null labels are left out.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    if where is not None:
+        rows = rows.where(where)
+    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    first = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    return first(1).unionByName(first(0))
