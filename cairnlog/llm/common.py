@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the word contract: space, \t, \n, \v, \f and \r.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Characters that str.split() takes for white space and the word contract does not.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LOCAL: dict[str, str] = {}
 
 
@@ -62,7 +63,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def lower_ascii(text: str) -> str:
     """Lower-cases A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+    return text.encode().lower().decode()
+
+
+def words(text: str | None) -> list[str]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text."""
+    if not text:
+        return []
+    return WORD.findall(text) if _ODD.search(text) else text.split()
 
 
 def fold(doc_id, modulus: int):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairnlog.llm.bpe import op6_bpe
+from cairnlog.llm.minhash import op7_minhash
 from cairnlog.llm.packing import op4_packing
 from cairnlog.llm.pii import op5_pii
 from cairnlog.llm.quality import op3_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
+    "op7_minhash": op7_minhash,
     "op10_sstable": op10_sstable,
 }
 ORACLE_SQL: dict[str, str] = {}
