@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairnlog.llm.ann import op8_ann
 from cairnlog.llm.bpe import op6_bpe
 from cairnlog.llm.minhash import op7_minhash
 from cairnlog.llm.packing import op4_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_minhash": op7_minhash,
+    "op8_ann": op8_ann,
     "op10_sstable": op10_sstable,
 }
 ORACLE_SQL: dict[str, str] = {}

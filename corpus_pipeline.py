@@ -1,12 +1,56 @@
-"""The corpus pipeline: stages that each write Parquet and read it back as the next one's documents."""
+"""The corpus pipeline: stages that each write Parquet and read it back as the next one's documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
+columns of documents; the last returns packed pieces. No stage has SQL (trained models, exact sketch links, parsers
+and tokenizers), so their tests compare them with brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnlog.llm import common, minhash, packing, pii, quality, toxicity
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: drops documents whose score of good quality is under the cut."""
+    model = quality.learn(docs, common.table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).where("predicted = 1").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: drops documents graded as toxic."""
+    model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).where("NOT toxic").select(docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each near-duplicate group (five words, 0.8) stays, the one of the least doc_id."""
+    found = minhash.near_duplicates(docs)
+    lost = found.where("NOT kept").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: personal data gives way to its kind in angle brackets; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: token sequences of at most 2048 ids, one row a piece with its ids."""
+    import public_tokenizers as P
+
+    return packing.pack(docs, P.path("byte_bpe_50k.json"), end_id=1)
 
-from cairnlog.llm import common
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_dedup", dedup_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
