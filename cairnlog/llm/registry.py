@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cairnlog.llm.ann import op8_ann
 from cairnlog.llm.bpe import op6_bpe
+from cairnlog.llm.lm import op9_lm
 from cairnlog.llm.minhash import op7_minhash
 from cairnlog.llm.packing import op4_packing
 from cairnlog.llm.pii import op5_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_minhash": op7_minhash,
     "op8_ann": op8_ann,
+    "op9_lm": op9_lm,
     "op10_sstable": op10_sstable,
 }
 ORACLE_SQL: dict[str, str] = {}
