@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cairnlog.llm import common
 from cairnlog.llm.bpe import slices
 
-PER_CLASS, FEATURES, LEAST, GRADES, CUT = 4000, 4000, 3, 4, 0.5
+PER_CLASS, FEATURES, LEAST, LEAST_SHARE, GRADES, CUT = 4000, 4000, 3, 200, 4, 0.25
 _EDGE = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}*#$%&|<>«»¡¿-_=+/\\~`^@"
 
 
@@ -117,9 +117,10 @@ def learn(docs: DataFrame, labels: DataFrame, where=None, label: str = "toxic",
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n1:
         return Model({}, np.zeros(0), np.arange(1.0, GRADES) * 3)
+    least = max(LEAST, n1 // LEAST_SHARE)
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
     counts = chosen.mapInArrow(count, "f string, c long, t long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    top = counts.withColumn("odds", odds).where((F.col("t") >= LEAST) & (F.col("odds") > 1.5))
+    top = counts.withColumn("odds", odds).where((F.col("t") >= least) & (F.col("odds") > 1.5))
     best = top.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "f").limit(FEATURES).collect()  # at most FEATURES rows
     index = {r.f: k for k, r in enumerate(best)}
     strong = np.array([max(r.odds, 0) for r in best])
@@ -144,7 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, where=None, label: str = "toxic",
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` plus severity (expected grade, 0 to 3), p_toxic, grade and toxic (p_toxic of 0.5 or more).
+    """All columns of `docs` plus severity (expected grade, 0 to 3), p_toxic, grade and toxic (p_toxic of `CUT` or more:
+    it weighs a missed toxic document over a doubtful one).
 
     Null, empty and wordless texts hold no feature and get the least severity. Repeated rows, null ids and extra
     columns stay; columns with these four names are replaced; an empty table gives an empty result."""
