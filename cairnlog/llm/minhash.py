@@ -5,9 +5,9 @@ round that reaches it. Rounds from the t-th on aim at one coordinate each, so af
 agreement concentrates as with t independent minima, in time near to linear.
 
 Documents with equal sets form one class, and only its representative goes on. Representatives that share a band
-are compared with the least one of the band (a star, not all pairs) by their full sets; members of a band that
-the star leaves apart are compared with each other in blocks, by size and by sketch, and again verified by their
-full sets. Components of the verified links are found by star rounds.
+are compared with a lead (a star, not all pairs) by their full sets; members of a band that the stars leave apart
+are compared with each other in blocks, by size, by sketch and then by their full sets. Components of the verified
+links are found by star rounds.
 """
 
 from __future__ import annotations
@@ -102,38 +102,39 @@ def bands_of(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def short(s: np.ndarray) -> bytes:
+    """A byte of each coordinate: enough to rule pairs out."""
+    return (s & _U(0xFF)).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set; null if empty), sketch (binary) and bands (array<long>)."""
-    names = ["doc_id", "n", "key", "sketch", "bands"]
+    """doc_id, n (set size), key (digest of the set; null if empty) and bands (array<long>)."""
+    names = ["doc_id", "n", "key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in slices(batch, 1):
-                n, keys, short, bands = [], [], [], []
+                n, keys, bands = [], [], []
                 for text in chunk.column(1).to_pylist():
                     s = shingles(text, width)
                     n.append(len(s))
                     if not len(s):
                         keys.append(None)
-                        short.append(None)
                         bands.append([])
                         continue
-                    full = sketch(s)
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    short.append((full & _U(0xFF)).astype(np.uint8).tobytes())
-                    bands.append(bands_of(full).view(np.int64))
+                    bands.append(bands_of(sketch(s)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [chunk.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(short, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names
-                )
+                    [chunk.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, sketch binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, with inter and both sizes.
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Texts join on b, then on a, both as skewed sort-merge joins that AQE can split; the set of a repeated a is made once."""
-    texts = docs.select("doc_id", "text")
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -144,9 +145,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             for a, b, text_a, text_b in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if held is None or a.as_py() != held:
                     held, own = a.as_py(), shingles(text_a.as_py(), width)
-                other = shingles(text_b.as_py(), width)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(own) + len(other) - both):
+                if similar(own, shingles(text_b.as_py(), width), percent):
                     keep_a.append(held)
                     keep_b.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
@@ -155,55 +154,105 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between representatives (doc_id, n, sketch, bands) that share a band.
+    """Verified links (a, b) between representatives (doc_id, bands) that share a band; they join the same
+    documents as all links between those would.
 
     The lead of a band is the member that shares most bands with others, so usually the text that the rest of the
-    band was copied from, and its links join most of the band at once."""
+    band was copied from. Every document first meets the foremost of its leads, which joins most bands at once."""
     rows = common.materialize(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     multi = common.materialize(rows.join(shared, "band"), "shared_bands")
     most = multi.groupBy("doc_id").agg(F.sum("c").alias("met"))
-    leads = multi.join(most, "doc_id").groupBy("band").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("a"))
-    stars = multi.join(leads, "band").select("a", F.col("doc_id").alias("b")).distinct()
-    stars = common.materialize(stars, "stars")
-    first = common.materialize(verify(stars.where("a != b"), docs, width, percent), "star_links")
-    more = leftovers(stars, components(first), reps, percent)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = common.materialize(more.join(tried, ["a", "b"], "left_anti"), "leftover_pairs")
-    return first.unionByName(common.materialize(verify(more, docs, width, percent), "leftover_links"))
-
-
-def leftovers(stars: DataFrame, label: DataFrame, reps: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one star that no verified link joins yet and whose sizes and sketches allow
-    a link. Members that are apart from their lead meet all members of the star, block by block: no pair is emitted
-    that the sketches rule out (agreement 4.6 standard deviations under the threshold), and no task holds a star."""
+    texts = docs.join(most.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
+    texts = common.materialize(texts.select("doc_id", "text"), "shared_texts")
+    rank = F.struct("met", (-F.col("doc_id")).alias("least"))
+    leads = multi.join(most, "doc_id").groupBy("band").agg(F.max_by("doc_id", rank).alias("a"), F.max("met").alias("top"))
+    leads = common.materialize(leads, "leads")
+    foremost = multi.join(leads, "band").groupBy("doc_id").agg(F.max_by("a", F.struct("top", (-F.col("a")).alias("least"))).alias("a"))
+    stars = common.materialize(foremost.where("a != doc_id").select("a", F.col("doc_id").alias("b")), "stars")
+    first = common.materialize(verify(stars, texts, width, percent), "star_links")
+    more = leftovers(multi.select("band", F.col("doc_id").alias("b")), leads.select("band", "a"), components(first), texts, width, percent)
+    return first.unionByName(common.materialize(more, "leftover_links"))
+
+
+def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 128) -> DataFrame:
+    """Verified links (a, b) that join documents of one band which the links so far leave apart.
+
+    Bands whose members are in one component need nothing more. The others are gathered by the component of their
+    lead: members outside of it meet all members, block by block, so no task holds a group and no pair leaves its
+    block unless it is a link. In a block, sketches rule pairs out first (agreement 4.6 standard deviations under the
+    threshold), then full sets decide; of the links those that join something new are given."""
     own = label.withColumnsRenamed({"node": "b", "component": "own"})
-    lead = label.withColumnsRenamed({"node": "a", "component": "lead"})
-    m = stars.join(own, "b", "left").join(lead, "a", "left").select("a", "b", F.coalesce("own", "b").alias("own"), F.coalesce("lead", "a").alias("lead"))
-    m = m.withColumn("apart", F.col("own") != F.col("lead"))
-    size = m.groupBy("a").agg(F.ceil(F.count("*") / block).alias("mb"), F.ceil(F.count(F.when(F.col("apart"), 1)) / block).alias("sb")).where("sb > 0")
-    m = m.join(size, "a").join(reps.select(F.col("doc_id").alias("b"), "n", "sketch"), "b")
-    at = F.xxhash64("b")
-    i, j = F.pmod(at, "mb"), F.pmod(at, "sb")
-    all_of = m.select("a", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("j"), F.lit(False).alias("single"), "b", "own", "n", "sketch")
-    singles = m.where("apart").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("single"), "b", "own", "n", "sketch")
+    lead = label.withColumnsRenamed({"node": "a", "component": "g"})
+    m = bands.join(own, "b", "left").select("band", "b", F.coalesce("own", "b").alias("own"))
+    mixed = m.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi")
+    mixed = mixed.join(leads, "band").join(lead, "a", "left").select("band", F.coalesce("g", "a").alias("g"))
+    m = common.materialize(m.join(mixed, "band").select("g", "b", "own").distinct(), "apart")
+    apart = F.col("own") != F.col("g")
+    size = m.groupBy("g").agg(F.ceil(F.count("*") / block).alias("mb"), F.ceil(F.count(F.when(apart, 1)) / block).alias("sb"))
+    sets = common.materialize(full_sets(texts, m.select("b").distinct(), width), "sets")
+    m = m.join(size.where("sb > 0"), "g").withColumn("at", F.xxhash64("b"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    all_of = m.select("g", F.pmod("at", "mb").alias("i"), each("sb").alias("j"), F.lit(False).alias("single"), "b", "own")
+    singles = m.where(apart).select("g", each("mb").alias("i"), F.pmod("at", "sb").alias("j"), F.lit(True).alias("single"), "b", "own")
     least = SIZE * (percent / 100 - 0.12)
 
     def run(t: pa.Table) -> pa.Table:
-        single = np.asarray(t["single"])
-        b, own, n = (np.asarray(t[c]) for c in ("b", "own", "n"))
+        single, b, own = (np.asarray(t[c]) for c in ("single", "b", "own"))
         s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SIZE)
-        x, y, lo, hi = np.flatnonzero(single), np.flatnonzero(~single), [], []
-        for k in x:
-            fit = (own[y] != own[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))
-            near = y[fit]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["elements"]]
+        n = np.array([len(x) for x in sets])
+        joined, found = Joined(own.tolist()), []
+        y = np.flatnonzero(~single)
+        for k in np.flatnonzero(single):
+            near = y[(own[y] != own[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))]
             near = near[(s[near] == s[k]).sum(1) >= least]
-            lo.append(np.minimum(b[near], b[k]))
-            hi.append(np.maximum(b[near], b[k]))
-        both = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (lo, hi)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+            for i in near:
+                if joined.apart(own[k], own[i]) and similar(sets[k], sets[i], percent):
+                    joined.join(own[k], own[i])
+                    found.append((min(b[k], b[i]), max(b[k], b[i])))
+        return pa.table({c: pa.array([f[at] for f in found], pa.int64()) for at, c in enumerate("ab")})
+
+    dealt = all_of.unionByName(singles).join(sets, "b")
+    return dealt.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+class Joined(dict):
+    """Disjoint sets of component numbers, for one block."""
+
+    def __init__(self, numbers: list[int]):
+        super().__init__(zip(numbers, numbers, strict=True))
+
+    def top(self, x: int) -> int:
+        while self[x] != x:
+            self[x] = x = self[self[x]]
+        return x
+
+    def apart(self, x: int, y: int) -> bool:
+        return self.top(x) != self.top(y)
+
+    def join(self, x: int, y: int) -> None:
+        self[self.top(x)] = self.top(y)
+
+
+def full_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(b, elements binary, sketch binary) of the documents named in `ids` (b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in slices(batch, 1):
+                elements = [shingles(t, width) for t in chunk.column(1).to_pylist()]
+                columns = [[e.tobytes() for e in elements], [short(sketch(e)) if len(e) else bytes(SIZE) for e in elements]]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["b", "elements", "sketch"])
+
+    return texts.select(F.col("doc_id").alias("b"), "text").join(ids, "b").mapInArrow(run, "b long, elements binary, sketch binary")
+
 
-    return all_of.unionByName(singles).groupBy("a", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of two sorted sets."""
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     real = signs.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = common.materialize(real.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = real.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "key"])
-    reps = common.materialize(reps.select("doc_id", "n", "sketch", "bands"), "representatives")
+    reps = common.materialize(reps.select("doc_id", "bands"), "representatives")
     found = components(links(docs, reps, width, percent))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = signs.select("doc_id", "n", "key").join(of_class, "key", "left")
