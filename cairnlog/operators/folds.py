@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlog.sources.scratch import fixed
+
 KEY = "pid int, lo long, hi long, pieces long, left long, total long, n long"
 
 
@@ -60,6 +62,7 @@ def reset_pieces(df: DataFrame, order: list[str], size: str, limit: int, name: s
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
+    dealt = fixed(dealt)  # range bounds come from a sample, which a second job would draw anew
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes, pid = [], -1
