@@ -30,7 +30,7 @@ from cairnlog.llm.bpe import slices
 
 log = logging.getLogger(__name__)
 END = ""  # no word is empty
-HEAD, CLASSES, OWN, JOINT, BLOCKS = 300_000, 32, 224, 4096, 48
+HEAD, CLASSES, OWN, JOINT, BLOCKS, SALTS = 300_000, 32, 224, 4096, 48, 512
 LAST = CLASSES - 1  # the class of END; also that of what stands before a text
 BUCKETS = OWN + CLASSES
 HISTORIES = BUCKETS * CLASSES * CLASSES
@@ -131,7 +131,8 @@ def histories(ids: np.ndarray, buckets: np.ndarray, classes: np.ndarray) -> tupl
 
 
 def gather(docs: DataFrame, vocab, width: int = BLOCKS) -> DataFrame:
-    """(block, data): packed counts of (history, class) over all rows, summed in the tasks and then by block."""
+    """(block, data): packed counts of (history, class) over all rows, summed in the tasks, then by block and salt, then
+    by block. Sums run over a stream of parts, so a task holds at most one table of each block, at any input size."""
 
     def pack(block: int, table: np.ndarray) -> tuple[int, bytes]:
         at = np.flatnonzero(table)
@@ -155,21 +156,24 @@ def gather(docs: DataFrame, vocab, width: int = BLOCKS) -> DataFrame:
                     cells.append(h * CLASSES + c)
                 at, n = np.unique(np.concatenate(cells), return_counts=True)
                 table[at] += n.astype(np.uint32)
-        salt = TaskContext.get().partitionId() % 64
+        salt = TaskContext.get().partitionId() % SALTS
         rows = [pack(b, own(table, b, width)) for b in range(width)]
         cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * width, pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["block", "salt", "data"])
 
-    def add(t: pa.Table) -> pa.Table:
-        block = t["block"][0].as_py()
-        table = np.zeros(len(range(block, HISTORIES, width)) * CLASSES, np.int64)
-        for data in t["data"]:
-            unpack(data.as_py(), table)
-        return pa.table({"block": pa.array([block], pa.int32()), "data": pa.array([pack(block, table)[1]], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                if block not in sums:
+                    sums[block] = np.zeros(len(range(block, HISTORIES, width)) * CLASSES, np.int64)
+                unpack(data.as_py(), sums[block])
+        for block, table in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(block, table)[1]], pa.binary())], ["block", "data"])
 
     parts = docs.select("text").mapInArrow(run, "block int, salt int, data binary")
-    once = parts.groupBy("block", "salt").applyInArrow(add, "block int, data binary")
-    return once.groupBy("block").applyInArrow(add, "block int, data binary")
+    once = parts.repartition("block", "salt").mapInArrow(add, "block int, data binary")
+    return once.repartition("block").mapInArrow(add, "block int, data binary")
 
 
 def own(table: np.ndarray, block: int, width: int) -> np.ndarray:
