@@ -1,9 +1,11 @@
 """Operator 2: quality rules with adaptive thresholds, in DataFrame functions only.
 
 Document statistics are one projection. Their distributions per language and source are KLL quantile sketches
-(partial sketches merge before and after the shuffle, so a hot source costs no more than another). A group with
-few documents takes the merged sketches of its language, a small language those of all. Fences around the
-quartiles of the group replace fixed cutoffs, and a join on the small table of fences filters.
+(partial sketches merge before and after the shuffle, so a hot source costs no more than another). Quantiles of a
+group are blended with those of its language, and those of a language with those of all, by the number of documents.
+A fence lies around the group's own median, as far as the group's quartile or the language's tail is wide, and a join
+on the small table of fences filters. The median and quartile withstand junk in up to a quarter of a group, the tail
+in up to 1 - `level` of a language. No rate is fixed: what is left beside the sketches is a few occurrences.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ from pyspark.sql import functions as F
 
 from cairnlog.llm import common
 
-#: Statistic -> the least distance of its fence above the upper quartile; a fence is `FENCE` quartile ranges away.
-UPPER = {"symbol_rate": 0.1, "dup_line_rate": 0.45, "repeat_rate": 0.25, "stutter_rate": 0.1, "mean_word": 1.5}
-LOWER = {"mean_word": 1.5}
-FENCE, LEAST_DOCS, SKETCH_K = 5.0, 100, 400
+#: Statistic -> level of the language's tail. Most texts repeat no line and no passage: only a far tail shows those that do.
+UPPER = {"symbol_rate": 0.9, "dup_line_rate": 0.98, "repeat_rate": 0.98, "stutter_rate": 0.9, "mean_word": 0.9}
+LOWER = {"mean_word": 0.1}
+#: Statistic -> occurrences that a short text may have beyond its fence, and what they are counted in. One repeat of eight words covers 16.
+SLACK = {"symbol_rate": (2, "n_words"), "dup_line_rate": (1, "n_lines"), "repeat_rate": (16, "n_words"), "stutter_rate": (2, "n_words")}
+#: A fence is `FENCE` widths away; a parent's quantiles weigh as much as `LEAST_DOCS` documents.
+FENCE, LEAST_DOCS, SKETCH_K = 5.0, 25, 400
 
 
 def sized(words: str) -> Column:
@@ -73,25 +78,34 @@ def rates(stats: DataFrame) -> DataFrame:
 def fences(rated: DataFrame) -> DataFrame:
     """lang, source, hi_<rate>, lo_<rate>: per language and source, from the documents that pass the base rules."""
     names = list(UPPER)
+    levels = {c: sorted({0.25, 0.5, 0.75, UPPER[c], LOWER.get(c, 0.5)}) for c in names}
     own = rated.where(~F.col("base_failed")).groupBy("lang", "source").agg(
         F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in names]
     )
     merged = lambda by: own.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in names])
-    lang = merged(["lang"]).select(F.col("lang").alias("lang_l"), F.struct("n", *names).alias("of_lang"))
-    every = merged([]).select(F.struct("n", *names).alias("of_all"))
+    q = lambda c, at: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(c), F.lit(at)))
+    quantiles = F.struct("n", *[q(c, at).alias(f"{c}_{int(at * 100)}") for c in names for at in levels[c]])
+    lang = merged(["lang"]).select(F.col("lang").alias("lang_l"), quantiles.alias("of_lang"))
+    every = merged([]).select(quantiles.alias("of_all"))
+    own = own.select("lang", "source", quantiles.alias("own"))
     groups = rated.select("lang", "source").distinct()
     g = groups.alias("g").join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
-    g = g.select("g.lang", "g.source", F.struct(*[F.col(f"o.{c}").alias(c) for c in ["n", *names]]).alias("own"))
+    g = g.select("g.lang", "g.source", "o.own")
     g = g.join(lang, g["lang"].eqNullSafe(lang["lang_l"]), "left").join(F.broadcast(every))  # `every` is one row
-    enough = lambda s: F.coalesce(F.col(s)["n"] >= LEAST_DOCS, F.lit(False))
-    g = g.select("lang", "source", F.when(enough("own"), F.col("own")).when(enough("of_lang"), F.col("of_lang")).otherwise(F.col("of_all")).alias("t"))
-    q = lambda c, at: F.when(F.col("t")["n"] > 0, F.kll_sketch_get_quantile_double(F.col("t")[c], F.lit(at)))
-    g = g.select("lang", "source", *[q(c, at).alias(f"{c}_{int(at * 100)}") for c in names for at in (0.25, 0.75)])
-    range_of = lambda c, least: F.greatest(FENCE * (F.col(f"{c}_75") - F.col(f"{c}_25")), F.lit(least))
+
+    def blended(of: str, at: str, parent: Column) -> Column:
+        n = F.col(of)["n"]
+        return F.coalesce((n * F.col(of)[at] + LEAST_DOCS * parent) / (n + LEAST_DOCS), parent)
+
+    of_lang = lambda c, at: blended("of_lang", f"{c}_{int(at * 100)}", F.col("of_all")[f"{c}_{int(at * 100)}"])
+    of_own = lambda c, at: blended("own", f"{c}_{int(at * 100)}", of_lang(c, at))
+    far = lambda c, side, tail: FENCE * F.greatest(
+        F.abs(of_own(c, side) - of_own(c, 0.5)), F.abs(of_lang(c, tail) - of_lang(c, 0.5))
+    )
     return g.select(
         "lang", "source",
-        *[(F.col(f"{c}_75") + range_of(c, least)).alias(f"hi_{c}") for c, least in UPPER.items()],
-        *[(F.col(f"{c}_25") - range_of(c, least)).alias(f"lo_{c}") for c, least in LOWER.items()],
+        *[(of_own(c, 0.5) + far(c, 0.75, tail)).alias(f"hi_{c}") for c, tail in UPPER.items()],
+        *[(of_own(c, 0.5) - far(c, 0.25, tail)).alias(f"lo_{c}") for c, tail in LOWER.items()],
     )
 
 
@@ -104,7 +118,8 @@ def judge(docs: DataFrame) -> DataFrame:
     rated = rates(common.materialize(statistics(docs), "rule_statistics"))
     limits = fences(rated)
     j = rated.alias("r").join(limits.alias("f"), F.col("r.lang").eqNullSafe(F.col("f.lang")) & F.col("r.source").eqNullSafe(F.col("f.source")), "left")
-    within = [F.col(f"r.{c}") <= F.col(f"f.hi_{c}") for c in UPPER] + [F.col(f"r.{c}") >= F.col(f"f.lo_{c}") for c in LOWER]
+    slack = {c: n / F.nullif(F.col(f"r.{of}"), F.lit(0)) for c, (n, of) in SLACK.items()}
+    within = [F.col(f"r.{c}") <= F.col(f"f.hi_{c}") + slack.get(c, F.lit(0.0)) for c in UPPER] + [F.col(f"r.{c}") >= F.col(f"f.lo_{c}") for c in LOWER]
     held = ~F.col("r.base_failed")
     for w in within:
         held = held & F.coalesce(w, F.lit(False))
