@@ -1,6 +1,7 @@
 """Operator 9: language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-    P(word | history) = P(class of word | history) * P(word | class)
+    Q(word | history) = P(class of word | history) * P(word | class)
+    P(word | history) = (n(word before, word) + PRIOR * Q(word | history)) / (n(word before) + PRIOR)
 
 Words are counted exactly over all training documents. The most frequent ones (a bounded head) fall into classes by
 their letters; all others share one class, inside which exact counts with add-one smoothing give the word's chance.
@@ -8,10 +9,14 @@ The class is predicted by a maximum-entropy model over the word before (n-gram),
 (skips) and a hashed conjunction of the first two. Its histories are few, so one pass gathers how often each class
 follows each history in the whole training set, gradient updates run distributed over that table, and scoring looks
 its log-probabilities up, document by document, in numpy.
+
+n counts every pair of neighbouring words of the training set, whatever their rank: a distributed table keyed by a
+64-bit hash that grows with the input and is joined with the pairs of the scored texts, never collected.
 """
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import math
 import zlib
@@ -31,6 +36,7 @@ from cairnlog.llm.bpe import slices
 log = logging.getLogger(__name__)
 END = ""  # no word is empty
 HEAD, CLASSES, OWN, JOINT, BLOCKS, SALTS = 300_000, 32, 224, 4096, 48, 512
+PRIOR = 50.0  # occurrences of the word before that Q weighs as much as
 LAST = CLASSES - 1  # the class of END; also that of what stands before a text
 BUCKETS = OWN + CLASSES
 HISTORIES = BUCKETS * CLASSES * CLASSES
@@ -71,6 +77,50 @@ class Ids(dict):
         return -1
 
 
+class Hashes(dict):
+    """word -> a 64-bit hash, the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(self) < 300_000:
+            self[word] = h
+        return h
+
+
+def pair_keys(words: list[str], hashes: Hashes) -> np.ndarray:
+    """A key of (word before, word) for each position of one text; END stands before the first."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    before = np.concatenate((np.array([hashes[END]], np.uint64), h[:-1]))
+    x = before * np.uint64(0x9E3779B97F4A7C15) + h
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def count_pairs(docs: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """(k, n) of all neighbouring words over all rows: counted in the tasks, about `limit` at a time, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
+
+        for batch in batches:
+            for chunk in slices(batch, 0, 2_000_000):
+                for text in chunk.column(0).to_pylist():
+                    held.append(pair_keys(tokens(text), hashes))
+                    size += len(held[-1])
+                if size >= limit:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Vocabulary:
     words: list[str]
@@ -266,10 +316,11 @@ def learn(docs: DataFrame, counts: DataFrame, head: int = HEAD) -> Model:
     return Model(vocab, out)
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, pairs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `keep`, n_tokens, n_known, base_score and score of every row of `docs`.
 
-    Head words are scored in the tasks; the counts of all other words come by a join on the word. Null or empty text
+    Q of head words comes from the tasks; the counts of all other words come by a join on the word, those of pairs by a
+    join on their key. Null or empty text
     is END alone. Repeated rows, null ids and equal ids stay rows of their own; extra columns are not read unless
     named in `keep`; an empty table gives an empty result, and an empty training set a model of one class."""
     spark = docs.sparkSession
@@ -277,15 +328,16 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, keep: tuple[str, ...
     v = model.vocab
     kept = ["doc_id", *keep]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = ["row", "word", *kept, "n_tokens", "head_known", "head_base", "part"]
+    names = ["row", "word", *kept, "n_tokens", "head_known", "head_base", "part", "k", "q", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         find, buckets, classes = m.vocab.lookup().__getitem__, m.vocab.buckets(), np.append(m.vocab.classes, 0)
+        weight, hashes, end = np.append(np.log10(m.vocab.counts + PRIOR), 0.0), Hashes(), find(END)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for chunk in slices(batch, len(kept), 2_000_000):
-                rows, n, known, base, part, far, far_rows = [], [], [], [], [], [], []
+                rows, n, known, base, part, extra = [], [], [], [], [], []
                 for text in chunk.column(len(kept)).to_pylist():
                     words = tokens(text)
                     ids = np.fromiter(map(find, words), np.int64, len(words))
@@ -295,30 +347,48 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, keep: tuple[str, ...
                     n.append(len(words))
                     known.append(len(words) - len(outside))
                     base.append(float(m.base[ids].sum()))
-                    part.append(float(m.table[h, c].sum(dtype=np.float64) + m.inside[ids].sum()))
-                    far += [words[k] for k in outside]
-                    far_rows += [row] * len(outside)
+                    q = m.table[h, c] + m.inside[ids]
+                    before = np.concatenate(([end], ids[:-1]))
+                    part.append(float(q.sum() - weight[before].sum()))
+                    rare = np.empty(len(words), object)
+                    rare[outside] = [words[k] for k in outside]
+                    extra.append((np.full(len(words), row), rare, pair_keys(words, hashes), q, np.zeros(len(words), bool)))
+                    after = np.flatnonzero(before < 0)
+                    prev = np.array([words[k - 1] if k else END for k in after.tolist()], object)
+                    extra.append((np.full(len(after), row), prev, np.zeros(len(after), np.int64), np.zeros(len(after)), np.ones(len(after), bool)))
                     row += 1
                 own = [pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.string()), *chunk.columns[: len(kept)]]
                 own += [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(part)]
+                own += [pa.nulls(len(rows), t) for t in (pa.int64(), pa.float32(), pa.bool_())]
                 yield pa.RecordBatch.from_arrays(own, names)
-                for s in range(0, len(far), 50_000):
-                    some = [pa.array(far_rows[s : s + 50_000], pa.int64()), pa.array(far[s : s + 50_000], pa.string())]
-                    rest = [pa.nulls(len(some[0]), a.type) for a in own[2:]]
-                    yield pa.RecordBatch.from_arrays([*some, *rest], names)
-
-    schema = ["row long, word string", *(f"`{c}` {kinds[c]}" for c in kept), "n_tokens long, head_known long, head_base double, part double"]
+                at, w, k, q, prev = (np.concatenate([e[x] for e in extra]) for x in range(5))
+                for s in range(0, len(at), 50_000):
+                    e = slice(s, s + 50_000)
+                    rest = [pa.nulls(len(at[e]), x.type) for x in own[2:-3]]
+                    some = [pa.array(at[e]), pa.array(w[e], pa.string()), *rest, pa.array(k[e]), pa.array(q[e].astype(np.float32)), pa.array(prev[e])]
+                    yield pa.RecordBatch.from_arrays(some, names)
+
+    schema = ["row long, word string", *(f"`{c}` {kinds[c]}" for c in kept), "n_tokens long, head_known long, head_base double, part double, k long, q float, before boolean"]
     mixed = common.materialize(docs.select(*kept, "text").mapInArrow(run, ", ".join(schema)), "lm_rows")
-    tail = mixed.where("word IS NOT NULL").select("row", "word").join(all_counts, "word")
-    tail = tail.groupBy("row").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_base"))
-    out = mixed.where("word IS NULL").join(tail, "row", "left")
+    rare = mixed.where("word IS NOT NULL").select("row", "word", "k", "q", "before").join(all_counts, "word", "left")
+    rare = rare.withColumn("c", F.coalesce("c", F.lit(0)))
+    asked = mixed.where("word IS NULL AND k IS NOT NULL").select("row", "k", "q")
+    asked = asked.unionByName(rare.where("NOT before").select("row", "k", (F.col("q") + F.log10(F.col("c") + 1)).cast("float").alias("q")))
+    more = F.log10(1 + F.col("n") / (PRIOR * F.pow(F.lit(10.0), F.col("q").cast("double"))))
+    gain = asked.join(pairs, "k").groupBy("row").agg(F.sum(more).alias("gain"))
+    tail = rare.groupBy("row").agg(
+        F.count(F.when(~F.col("before") & (F.col("c") > 0), 1)).alias("tail_known"),
+        F.sum(F.when(~F.col("before"), F.log10(F.col("c") + 1))).alias("tail_base"),
+        F.sum(F.when(F.col("before"), F.log10(F.col("c") + PRIOR))).alias("tail_weight"),
+    )
+    out = mixed.where("k IS NULL").join(tail, "row", "left").join(gain, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     each = math.log10(v.total + v.distinct + 1)
     return out.select(
         *kept, "n_tokens",
         (F.col("head_known") + zero("tail_known")).alias("n_known"),
         (F.col("head_base") + zero("tail_base") - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        (F.col("part") + zero("tail_base")).alias("score"),
+        (F.col("part") + zero("tail_base") - zero("tail_weight") + F.col("n_tokens") * math.log10(PRIOR) + zero("gain")).alias("score"),
     )
 
 
@@ -329,5 +399,5 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = docs.where(~out)
     counts = common.materialize(count_tokens(seen), "word_counts")
     model = learn(seen, counts)
-    scored = score(docs, counts, model)
+    scored = score(docs, counts, count_pairs(seen), model)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
