@@ -3,11 +3,13 @@
 Unit vectors are turned by fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and fall
 to the nearest signed axis. Every row is indexed in each of several tables. A query probes the axes nearest to it
 in each table; its candidates are reranked by exact Euclidean distances in double precision on the original
-vectors, inside blocks of bounded size, and only each block's nearest leave it.
+vectors, inside blocks of bounded size, and only each block's nearest leave it. Probes follow the width, and queries
+that meet fewer than k rows scan all rows of their width, in the same blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cairnlog.llm import common
 
-TABLES, PROBES, BLOCK = 8, 14, 1024
+TABLES, PROBES, PER_WIDTH, GROWTH, BLOCK = 8, 14, 64, 1.4, 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -54,6 +56,12 @@ def axes(x: np.ndarray, table: int, seed: int, probes: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(signed, near, 1), axis=1, kind="stable"), 1)
 
 
+def probes_of(width: int, probes: int = PROBES) -> int:
+    """As large a share of the axes as `probes` are at a width of PER_WIDTH; more where axes separate less."""
+    width = 1 << max(0, (width - 1).bit_length())
+    return max(probes, math.ceil(probes * (width / PER_WIDTH) ** GROWTH))
+
+
 def usable(v: str) -> Column:
     """Not null, not zero, no null and no non-finite component."""
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -75,7 +83,7 @@ def hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
                     x = x / np.abs(x).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                     for tab in range(tables):
-                        at = axes(x, tab, seed, probes)
+                        at = axes(x, tab, seed, probes if probes == 1 else probes_of(int(width), probes))
                         again = pa.array(np.repeat(np.arange(len(x)), at.shape[1]))
                         taken = own.take(again)
                         n = taken.num_rows
@@ -93,7 +101,7 @@ def vectors(column: pa.ChunkedArray) -> np.ndarray:
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query (id, v) among `rows` (id, v), but itself.
 
-    Nearest first, ties to the smaller id; all candidates found if fewer. Vectors that are null, zero or hold null or
+    Nearest first, ties to the smaller id; all rows if there are fewer than k. Vectors that are null, zero or hold null or
     non-finite components take no part; nor do rows with a null id; vectors meet those of their own width only. Of
     equal vectors only the k + 1 least ids can be among anyone's k nearest, so the others are left out of the index
     (by a window limit that works before the shuffle); repeated rows count once. Empty tables give an empty result.
@@ -105,15 +113,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, tables: int = TABL
     rows = rows.withColumn("copy", first).where(F.col("copy") <= k + 1).drop("copy")
     base = common.materialize(hashed(rows, tables, 1, seed), "ann_index")
     asked = common.materialize(hashed(queries, tables, probes, seed), "ann_probes")
-    key = ["width", "tab", "axis"]
-    rb = base.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("rb"))
-    qb = asked.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("qb"))
-    counts = rb.join(qb, key)  # at most 2 x width x tables rows
-    spread = lambda d, own, other: d.join(counts, key).select(
-        *key, F.pmod(F.xxhash64("id"), own).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "v"
-    )
-    both = spread(base, "rb", "qb").withColumn("q", F.lit(False)).unionByName(spread(asked, "qb", "rb").withColumn("q", F.lit(True)))
-
     def run(t: pa.Table) -> pa.Table:
         is_q, ids, x = np.asarray(t["q"]), np.asarray(t["id"]), vectors(t["v"])
         q, c, qi, ci = x[is_q], x[~is_q], ids[is_q], ids[~is_q]
@@ -137,7 +136,21 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, tables: int = TABL
         cols = [np.concatenate([o[n] for o in out]) if out else np.zeros(0) for n in range(3)]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = both.groupBy(*key, "rb", "qb").applyInArrow(run, "query_id long, vec_id long, score double")
+    def met(base: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+        rb = base.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("rb"))
+        qb = asked.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("qb"))
+        counts = rb.join(qb, key)  # at most 2 x width x tables rows
+        spread = lambda d, own, other: d.join(counts, key).select(
+            *key, F.pmod(F.xxhash64("id"), own).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "v"
+        )
+        both = spread(base, "rb", "qb").withColumn("q", F.lit(False)).unionByName(spread(asked, "qb", "rb").withColumn("q", F.lit(True)))
+        return both.groupBy(*key, "rb", "qb").applyInArrow(run, "query_id long, vec_id long, score double")
+
+    found = common.materialize(met(base, asked, ["width", "tab", "axis"]), "ann_found")
+    enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
+    few = queries.join(enough, queries["id"] == enough["query_id"], "left_anti")
+    sized = lambda d: d.withColumn("width", F.size("v"))
+    found = found.unionByName(met(sized(rows), sized(few), ["width"]))
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
