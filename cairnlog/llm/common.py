@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cairnlog.sources.scratch import shared_root
 
 #: White space of the word contract: space, \t, \n, \v, \f and \r.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
 #: Characters that str.split() takes for white space and the word contract does not.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,19 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one for a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="cairnlog-")
-    return _LOCAL[app]
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; removed when the driver's Python ends."""
     path = f"{shared_root(spark)}/cairnlog-{uuid.uuid4().hex}/{name}"
@@ -58,7 +46,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes to the shared folder and reads back: cuts lineage with a copy that outlives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path)
+
+
+def with_columns(schema: StructType, ddl: str) -> StructType:
+    """`schema` and the columns of `ddl`; names are never spliced into DDL, so they may hold any character."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def lower_ascii(text: str) -> str:

@@ -12,7 +12,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of `links` (a, b).
 
     Each round takes minima per node (combined before the shuffle) and joins them back; a node with very many links
-    is a skewed join, which AQE splits. Every round is written to the shared folder, so none is computed twice.
+    is a skewed join, which AQE splits. Every round is written to the shared folder, so none is computed twice, and the one
+    before is deleted.
     Rounds grow with the logarithm of the longest path. Null ends, loops and repeated links are allowed.
     """
     rows = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -30,8 +31,11 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
             F.count(F.when(F.col("old").isNull(), 1)).alias("added"), F.count("*").alias("n"), F.count("old").alias("olds")
         )
         row = step.first()
+        common.discard(large, edges)
         edges = new
         if row.added == 0 and row.n == row.olds:
             tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+            out = common.materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops), "components")
+            common.discard(edges)
+            return out
     raise RuntimeError("components did not settle")

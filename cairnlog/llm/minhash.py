@@ -4,10 +4,11 @@ Sketch: rounds throw the elements of a set into the coordinates; a coordinate ke
 round that reaches it. Rounds from the t-th on aim at one coordinate each, so after 2t rounds all are filled, and
 agreement concentrates as with t independent minima, in time near to linear.
 
-Documents with equal sets form one class, and only its representative goes on. Representatives that share a band
-are compared with a lead (a star, not all pairs) by their full sets; members of a band that the stars leave apart
-are compared with each other in blocks, by size, by sketch and then by their full sets. Components of the verified
-links are found by star rounds.
+Documents with equal sets form one class, a node. Nodes that share a band are compared with a lead (a star, not all
+pairs) by their full sets; members of a band that the stars leave apart are compared with each other in blocks, by
+size, by sketch and then by their full sets. Components of the verified links are found by star rounds.
+
+Shingles are 64-bit hashes. Tables in between are written to the shared folder and deleted once they are used up.
 """
 
 from __future__ import annotations
@@ -17,62 +18,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlog.llm import common
 from cairnlog.llm.bpe import slices
 from cairnlog.llm.components import components
+from cairnlog.llm.wordhash import mix, shingle_sets
 
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS  # coordinates; a pair at 0.8 shares no band with a chance of 5e-6
+BYTES = 2_000_000  # of text that is hashed at a time
 _U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
+_EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _ERR = {"over": "ignore"}
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; emptied when it reaches `limit` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(**_ERR):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text, A-Z in lower case."""
-    words = common.words(common.lower_ascii(text)) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n, w = max(1, len(h) - width + 1), min(width, len(h))
-    out = np.full(n, w, np.uint64)
-    with np.errstate(**_ERR):
-        for k in range(w):
-            out = mix(out * _U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    return next(shingle_sets(pa.array([text], pa.string()), width))
 
 
 def sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
     """The fast similarity sketch of a non-empty set of 64-bit elements."""
-    empty = _U(0xFFFFFFFFFFFFFFFF)
-    out, n, start = np.full(size, empty), len(elements), 0
+    out, n, start = np.full(size, _EMPTY), len(elements), 0
     chunk = max(1, min(size, 2 * size // n))
     with np.errstate(**_ERR):
         while start < 2 * size:
@@ -80,103 +50,142 @@ def sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
             if start < size < stop:
                 stop = size
             rounds = np.arange(start, stop, dtype=np.uint64)[:, None]
-            h = mix(elements[None, :] + rounds * _U(0x9E3779B97F4A7C15))
+            h = mix(elements[None, :] + rounds * _STEP)
             value = (rounds << _U(32)) | (h & _U(0xFFFFFFFF))
             if start < size:
                 at = (((h >> _U(32)) * _U(size)) >> _U(32)).astype(np.int64)
                 np.minimum.at(out, at.ravel(), value.ravel())
             else:
                 out[start - size : stop - size] = np.minimum(out[start - size : stop - size], value.min(1))
-            if not (out == empty).any():
+            if not (out == _EMPTY).any():
                 break
             start, chunk = stop, min(4 * chunk, max(chunk, 8192 // n))
     return out
 
 
+def sketches(sets: list[np.ndarray], size: int = SIZE, budget: int = 100_000) -> np.ndarray:
+    """The sketch of each set, a row each (rows of empty sets are never filled). Sets of 48 elements and more go through
+    the rounds together, about `budget` elements at a time."""
+    out = np.full((len(sets), size), _EMPTY)
+    flat, n = out.reshape(-1), np.array([len(s) for s in sets], np.int64)
+    for k in np.flatnonzero((n > 0) & (n < 48)).tolist():
+        out[k] = sketch(sets[k], size)
+    big = np.flatnonzero(n >= 48)
+    upto, start = np.cumsum(n[big]), 0
+    while start < len(big):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + budget, side="right")))
+        docs, start = big[start:stop], stop
+        x, base = np.concatenate([sets[k] for k in docs.tolist()]), np.repeat(docs * size, n[docs])
+        with np.errstate(**_ERR):
+            for r in range(size):
+                h = mix(x + _U(r) * _STEP)
+                at = base + (((h >> _U(32)) * _U(size)) >> _U(32)).astype(np.int64)
+                np.minimum.at(flat, at, (_U(r) << _U(32)) | (h & _U(0xFFFFFFFF)))
+                gaps = (out[docs] == _EMPTY).any(1)
+                if not gaps.all():
+                    kept = np.repeat(gaps, n[docs])
+                    x, base, docs = x[kept], base[kept], docs[gaps]
+                if not len(docs):
+                    break
+        for k in docs.tolist():  # as good as never: 240 rounds of 48 draws left a gap
+            out[k] = sketch(sets[k], size)
+    return out
+
+
 def bands_of(s: np.ndarray) -> np.ndarray:
-    """One hash for each run of ROWS coordinates, different for equal runs of different bands."""
-    rows, out = s[: ROWS * BANDS].reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    """For each sketch, one hash for each run of ROWS coordinates, different for equal runs of different bands."""
+    rows, out = s.reshape(len(s), BANDS, ROWS), np.tile(np.arange(BANDS, dtype=np.uint64), (len(s), 1))
     with np.errstate(**_ERR):
         for k in range(ROWS):
-            out = mix(out * _U(0x9E3779B97F4A7C15) + rows[:, k])
+            out = mix(out * _STEP + rows[:, :, k])
     return out
 
 
-def short(s: np.ndarray) -> bytes:
+def short(s: np.ndarray) -> np.ndarray:
     """A byte of each coordinate: enough to rule pairs out."""
-    return (s & _U(0xFF)).astype(np.uint8).tobytes()
+    return (s & _U(0xFF)).astype(np.uint8)
+
+
+def digest(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set; null if empty) and bands (array<long>)."""
-    names = ["doc_id", "n", "key", "bands"]
+    """doc_id, t (digest of the text), n (set size), key (digest of the set; null if empty) and bands (array<long>)."""
+    names = ["doc_id", "t", "n", "key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in slices(batch, 1):
-                n, keys, bands = [], [], []
-                for text in chunk.column(1).to_pylist():
-                    s = shingles(text, width)
-                    n.append(len(s))
-                    if not len(s):
-                        keys.append(None)
-                        bands.append([])
-                        continue
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    bands.append(bands_of(sketch(s)).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [chunk.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+            for chunk in slices(batch, 1, BYTES):
+                sets = list(shingle_sets(chunk.column(1), width))
+                n = np.array([len(s) for s in sets], np.int64)
+                bands = bands_of(sketches(sets)).view(np.int64)[n > 0]
+                ends = np.concatenate(([0], np.cumsum((n > 0) * BANDS))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))
+                columns = [pa.array(n), pa.array([digest(s) for s in sets], pa.binary()), listed]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), *columns], names)
+
+    texts = docs.select("doc_id", "text", text_digest().alias("t"))
+    return texts.mapInArrow(run, "doc_id long, t binary, n long, key binary, bands array<long>")
+
+
+def text_digest():
+    """A digest of the whole text; null for null."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Texts join on b, then on a, both as skewed sort-merge joins that AQE can split; the set of a repeated a is made once."""
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    The partners of an `a` are dealt out in blocks, and its set is sent once to each block, so neither a task nor the
+    shuffle depends on how many partners one node has."""
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    partners = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    leads = size.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("role"))
+    dealt = partners.unionByName(leads).join(sets.select("node", "elements"), "node").select("a", "part", "role", "node", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
+        own = None
         for batch in batches:
             keep_a, keep_b = [], []
-            for a, b, text_a, text_b in zip(*(batch.column(k) for k in range(4)), strict=True):
-                if held is None or a.as_py() != held:
-                    held, own = a.as_py(), shingles(text_a.as_py(), width)
-                if similar(own, shingles(text_b.as_py(), width), percent):
-                    keep_a.append(held)
-                    keep_b.append(b.as_py())
+            for a, role, node, elements in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), batch.column(4), strict=True):
+                x = np.frombuffer(elements.as_buffer(), np.uint64)
+                if role == 0:
+                    own = x.copy()
+                elif similar(own, x, percent):
+                    keep_a.append(a)
+                    keep_b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return dealt.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between representatives (doc_id, bands) that share a band; they join the same
-    documents as all links between those would.
+def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between nodes (node, doc_id, key, bands) that share a band; they join the same nodes as all
+    links between those would.
 
     The lead of a band is the member that shares most bands with others, so usually the text that the rest of the
-    band was copied from. Every document first meets the foremost of its leads, which joins most bands at once."""
-    rows = common.materialize(reps.select("doc_id", F.explode("bands").alias("band")), "bands")
+    band was copied from. Every node first meets the foremost of its leads, which joins most bands at once."""
+    rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     multi = common.materialize(rows.join(shared, "band"), "shared_bands")
-    most = multi.groupBy("doc_id").agg(F.sum("c").alias("met"))
-    texts = docs.join(most.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
-    texts = common.materialize(texts.select("doc_id", "text"), "shared_texts")
-    rank = F.struct("met", (-F.col("doc_id")).alias("least"))
-    leads = multi.join(most, "doc_id").groupBy("band").agg(F.max_by("doc_id", rank).alias("a"), F.max("met").alias("top"))
+    most = multi.groupBy("node").agg(F.sum("c").alias("met"))
+    sets = common.materialize(full_sets(docs, nodes.select("node", "doc_id", "key").join(most, "node", "left_semi"), width), "sets")
+    rank = F.struct("met", (-F.col("node")).alias("least"))
+    leads = multi.join(most, "node").groupBy("band").agg(F.max_by("node", rank).alias("a"), F.max("met").alias("top"))
     leads = common.materialize(leads, "leads")
-    foremost = multi.join(leads, "band").groupBy("doc_id").agg(F.max_by("a", F.struct("top", (-F.col("a")).alias("least"))).alias("a"))
-    stars = common.materialize(foremost.where("a != doc_id").select("a", F.col("doc_id").alias("b")), "stars")
-    first = common.materialize(verify(stars, texts, width, percent), "star_links")
-    more = leftovers(multi.select("band", F.col("doc_id").alias("b")), leads.select("band", "a"), components(first), texts, width, percent)
-    return first.unionByName(common.materialize(more, "leftover_links"))
+    foremost = multi.join(leads, "band").groupBy("node").agg(F.max_by("a", F.struct("top", (-F.col("a")).alias("least"))).alias("a"))
+    stars = common.materialize(foremost.where("a != node").select("a", F.col("node").alias("b")), "stars")
+    first = common.materialize(verify(stars, sets, percent), "star_links")
+    label = components(first)
+    more = leftovers(multi.select("band", F.col("node").alias("b")), leads.select("band", "a"), label, sets, percent)
+    out = common.materialize(first.unionByName(more), "all_links")
+    common.discard(multi, sets, leads, stars, first, label)
+    return out
 
 
-def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 128) -> DataFrame:
-    """Verified links (a, b) that join documents of one band which the links so far leave apart.
+def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """Verified links (a, b) that join nodes of one band which the links so far leave apart.
 
     Bands whose members are in one component need nothing more. The others are gathered by the component of their
     lead: members outside of it meet all members, block by block, so no task holds a group and no pair leaves its
@@ -190,17 +199,16 @@ def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, texts: DataF
     m = common.materialize(m.join(mixed, "band").select("g", "b", "own").distinct(), "apart")
     apart = F.col("own") != F.col("g")
     size = m.groupBy("g").agg(F.ceil(F.count("*") / block).alias("mb"), F.ceil(F.count(F.when(apart, 1)) / block).alias("sb"))
-    sets = common.materialize(full_sets(texts, m.select("b").distinct(), width), "sets")
-    m = m.join(size.where("sb > 0"), "g").withColumn("at", F.xxhash64("b"))
+    asked = m.join(size.where("sb > 0"), "g").withColumn("at", F.xxhash64("b"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    all_of = m.select("g", F.pmod("at", "mb").alias("i"), each("sb").alias("j"), F.lit(False).alias("single"), "b", "own")
-    singles = m.where(apart).select("g", each("mb").alias("i"), F.pmod("at", "sb").alias("j"), F.lit(True).alias("single"), "b", "own")
+    all_of = asked.select("g", F.pmod("at", "mb").alias("i"), each("sb").alias("j"), F.lit(False).alias("single"), "b", "own")
+    singles = asked.where(apart).select("g", each("mb").alias("i"), F.pmod("at", "sb").alias("j"), F.lit(True).alias("single"), "b", "own")
     least = SIZE * (percent / 100 - 0.12)
 
     def run(t: pa.Table) -> pa.Table:
         single, b, own = (np.asarray(t[c]) for c in ("single", "b", "own"))
         s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SIZE)
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t["elements"]]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["elements"]]
         n = np.array([len(x) for x in sets])
         joined, found = Joined(own.tolist()), []
         y = np.flatnonzero(~single)
@@ -213,8 +221,10 @@ def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, texts: DataF
                     found.append((min(b[k], b[i]), max(b[k], b[i])))
         return pa.table({c: pa.array([f[at] for f in found], pa.int64()) for at, c in enumerate("ab")})
 
-    dealt = all_of.unionByName(singles).join(sets, "b")
-    return dealt.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    dealt = all_of.unionByName(singles).join(sets.withColumnRenamed("node", "b"), "b")
+    out = common.materialize(dealt.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "leftover_links")
+    common.discard(m)
+    return out
 
 
 class Joined(dict):
@@ -235,47 +245,84 @@ class Joined(dict):
         self[self.top(x)] = self.top(y)
 
 
-def full_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(b, elements binary, sketch binary) of the documents named in `ids` (b)."""
+def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, elements binary, sketch binary) of the nodes (node, doc_id, key), from the documents that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in slices(batch, 1):
-                elements = [shingles(t, width) for t in chunk.column(1).to_pylist()]
-                columns = [[e.tobytes() for e in elements], [short(sketch(e)) if len(e) else bytes(SIZE) for e in elements]]
-                yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["b", "elements", "sketch"])
+            for chunk in slices(batch, 1, BYTES):
+                sets = list(shingle_sets(chunk.column(1), width))
+                columns = [[digest(s) for s in sets], [s.tobytes() for s in sets], [x.tobytes() for x in short(sketches(sets))]]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "key", "elements", "sketch"])
 
-    return texts.select(F.col("doc_id").alias("b"), "text").join(ids, "b").mapInArrow(run, "b long, elements binary, sketch binary")
+    texts = docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = texts.mapInArrow(run, "doc_id long, key binary, elements binary, sketch binary")
+    # One of several equal rows; they are equal, so the first is as good as any.
+    return found.join(nodes, ["doc_id", "key"]).groupBy("node").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch"))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
     at = np.searchsorted(x, y)
     both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes). rows: doc_id, t, n and key of every row. classes: for each key of a row with a doc_id, the number
+    `top` of its group, and the least doc_id of the group as `least`."""
+    docs = docs.select("doc_id", "text")
+    signs = common.materialize(signatures(docs, width), "signatures")
+    real = signs.where("key IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = real.groupBy("key").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("w"))
+    # The number of a node is drawn once, when this table is written.
+    nodes = common.materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "w.doc_id", "w.bands"), "nodes")
+    joined = links(docs, nodes, width, percent)
+    label = components(joined)
+    classes = nodes.select("node", "key", "doc_id").join(label, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("top"))
+    least = classes.groupBy("top").agg(F.min("doc_id").alias("least"))
+    classes = common.materialize(classes.join(least, "top").select("key", "top", "least"), "classes")
+    common.discard(nodes, joined, label)
+    return signs.select("doc_id", "t", "n", "key"), classes
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links, itself included), kept (it is that one).
 
     Links: Jaccard similarity of the shingle sets of at least `percent` hundredths, checked on full sets. A text of
     fewer words than `width` is one shingle; null, empty and wordless texts have none and stay alone. Repeated rows
-    and rows of one doc_id with different texts each give a row. A row with a null doc_id links with nothing and is
-    kept, with a null component. Columns beyond doc_id and text are not read. An empty table gives an empty result.
+    and rows of one doc_id with different texts each give a row, by its own text. A row with a null doc_id links with
+    nothing and is kept, with a null component. Columns beyond doc_id and text are not read. An empty table gives an
+    empty result.
     """
-    docs = docs.select("doc_id", "text")
-    signs = common.materialize(signatures(docs, width), "signatures")
-    real = signs.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = common.materialize(real.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "key"])
-    reps = common.materialize(reps.select("doc_id", "bands"), "representatives")
-    found = components(links(docs, reps, width, percent))
-    of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = signs.select("doc_id", "n", "key").join(of_class, "key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    rows, classes = grouped(docs, width, percent)
+    out = rows.join(classes.select("key", "least"), "key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, with one row of each group of near-duplicates: the one of the least doc_id.
+
+    Rows are told apart by doc_id and text, so a doc_id on several rows neither saves copies nor loses other texts: of
+    equal least doc_ids the least digest of the text stays, and of rows that are equal in both one stays. Rows with a
+    null doc_id, and rows of null, empty and wordless texts, all stay. An empty table gives an empty result."""
+    rows, classes = grouped(docs, width, percent)
+    real = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "t", "key").agg(F.count("*").alias("times"))
+    real = common.materialize(real.join(classes, "key").select("doc_id", "t", "times", "top"), "told_apart")
+    best = real.groupBy("top").agg(F.min(F.struct("doc_id", "t")).alias("best"))
+    real = real.join(best, "top").withColumn("kept", F.struct("doc_id", "t") == F.col("best"))
+    gone = common.materialize(real.where("NOT kept OR times > 1").select("doc_id", "t", F.col("kept").alias("once")), "not_all_kept")
+    name = max(["t", *docs.columns], key=len) + "_"  # no column of docs
+    told = docs.withColumn(name, text_digest())
+    on = lambda g: (told["doc_id"] == g["doc_id"]) & (told[name] == g["t"])
+    once = gone.where("once")
+    kept = told.join(gone, on(gone), "left_anti").unionByName(told.join(once, on(once), "left_semi").dropDuplicates(["doc_id", name]))
+    return kept.select(docs.columns)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
