@@ -14,31 +14,43 @@ from cairnlog.llm import common, minhash, packing, pii, quality, toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: drops documents whose score of good quality is under the cut."""
+    """Operator 3: drops documents whose score of good quality is under the cut.
+
+    Null, empty and blank texts score 0 and go. Repeated rows and null ids are judged by their text like others; extra
+    columns of any name stay as they are."""
     model = quality.learn(docs, common.table(spark, sf_dir, "labels"))
     return quality.classify(docs, model).where("predicted = 1").select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: drops documents graded as toxic."""
+    """Operator 1: drops documents graded as toxic.
+
+    Null, empty and blank texts hold no toxic word and stay. Repeated rows and null ids are judged by their text like
+    others; extra columns of any name stay as they are."""
     model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.grade(docs, model).where("NOT toxic").select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each near-duplicate group (five words, 0.8) stays, the one of the least doc_id."""
-    found = minhash.near_duplicates(docs)
-    lost = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """Operator 7: one row of each near-duplicate group (five words, 0.8) stays, that of the least doc_id.
+
+    Rows are told apart by doc_id and text: a doc_id on several rows loses no other text and keeps no second copy. Rows
+    with a null doc_id and rows of null, empty or wordless texts stay."""
+    return minhash.distinct_documents(docs).select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: personal data gives way to its kind in angle brackets; n_chars follows the text."""
+    """Operator 5: personal data gives way to its kind in angle brackets; n_chars follows the text (null for null).
+
+    Every row stays, repeated ones and those with null ids too."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token sequences of at most 2048 ids, one row a piece with its ids."""
+    """Operator 4: token sequences of at most 2048 ids, one row a piece with its ids.
+
+    Null and empty texts give the end id alone; repeated rows and null ids are packed like others. The result has the
+    columns of packing.SCHEMA, whatever docs holds beside doc_id and text."""
     import public_tokenizers as P
 
     return packing.pack(docs, P.path("byte_bpe_50k.json"), end_id=1)
