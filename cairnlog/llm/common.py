@@ -6,7 +6,7 @@ import atexit
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -90,3 +90,14 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, where=None) -
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     first = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return first(1).unionByName(first(0))
+
+
+def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(y, text) of the sampled documents: one row a doc_id, the least of its texts if it has several."""
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # a sample's size is a parameter
+    return joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("y", "text")
+
+
+def blank(column: str) -> Column:
+    """Whether a text is null or has no word."""
+    return F.length(F.translate(F.coalesce(F.col(column), F.lit("")), SPACE, "")) == 0

@@ -14,6 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnlog.llm import common
 from cairnlog.llm.bpe import slices
@@ -161,8 +162,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 found = arrow_spans([spans(t) for t in chunk.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([chunk.column(0), found], [id_col, "spans"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans {SPANS}")
+    own = StructType([docs.schema[id_col]])
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, common.with_columns(own, f"spans {SPANS}"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

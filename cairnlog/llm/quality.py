@@ -85,6 +85,7 @@ class Model:
     votes: np.ndarray  # weight of each sample row for its class
     labels: np.ndarray
     prior: float
+    blank: float = 0.0  # of texts without a word: their share of label 1 in the sample, 0 if it holds none
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Unit latent vectors of rows of term counts; a row without terms stays zero."""
@@ -135,19 +136,23 @@ def fit(rows: list[np.ndarray], labels: list[int], class_totals: tuple[int, int]
 
 
 def learn(docs: DataFrame, labels: DataFrame, where=None, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Fits on at most `per_class` documents of each class. Class shares are counted over all labelled rows."""
+    """Fits on at most `per_class` documents of each class, one row a doc_id. Class shares are counted over all labelled
+    rows. Texts without a word have no place in the space: they are scored apart, by the sample's labels of such texts."""
     sample = common.labelled_sample(labels, label, per_class, where)
     totals = dict(labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(F.lit(True) if where is None else where).groupBy(F.col(label).cast("int")).count().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [pack(term_counts(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["y", "terms", "blank"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
-    got = joined.mapInArrow(run, "y int, terms binary").collect()  # at most 2 x per_class rows
+    joined = common.sample_texts(docs, sample).withColumn("blank", common.blank("text"))
+    got = joined.mapInArrow(run, "y int, terms binary, blank boolean").collect()  # at most 2 x per_class rows
     got.sort(key=lambda r: (r.y, bytes(r.terms)))
-    return fit([unpack(bytes(r.terms)) for r in got], [r.y for r in got], (totals.get(0, 0), totals.get(1, 0)))
+    spoken, silent = [r for r in got if not r.blank], [r.y for r in got if r.blank]
+    model = fit([unpack(bytes(r.terms)) for r in spoken], [r.y for r in spoken], (totals.get(0, 0), totals.get(1, 0)))
+    model.blank = sum(silent) / len(silent) if silent else 0.0
+    return model
 
 
 def pack(counts: np.ndarray) -> bytes:
@@ -165,8 +170,9 @@ def unpack(data: bytes) -> np.ndarray:
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs` plus score and predicted, of every whole text; only text is an input.
 
-    Null or empty text: no term, so the share of label 1 among the labelled. Repeated rows, null ids and extra
-    columns stay; an empty table gives an empty result. Columns named score or predicted are replaced."""
+    Null, empty and blank texts: `model.blank`, which is 0 unless the sample holds such texts with label 1. Repeated
+    rows, null ids and extra columns of any name stay; an empty table gives an empty result. Columns named score or
+    predicted are replaced."""
     docs = docs.drop("score", "predicted")
     shared, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns
 
@@ -178,16 +184,18 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 for start in range(0, len(texts), BLOCK):
                     scores.append(model.score(np.vstack([term_counts(t) for t in texts[start : start + BLOCK]])))
                 s = np.clip(np.concatenate(scores), 0, 1)
+                s[[not t or not t.strip(common.SPACE) for t in texts]] = model.blank
                 new = [pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*chunk.columns, *new], [*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(run, common.with_columns(docs.schema, "score double, predicted int"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality scores of all documents, learnt from labelled rows outside the held-out fold."""
+    """Quality scores of all documents, learnt from labelled rows outside the held-out fold. A null doc_id is of no fold:
+    held_out is false."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     model = learn(docs, common.table(spark, sf_dir, "labels"), common.fold(F.col("doc_id"), 5) != 0)
     scored = classify(docs, model)
-    return scored.select("doc_id", (common.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(common.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
