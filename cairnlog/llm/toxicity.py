@@ -99,11 +99,12 @@ def fit(rows: list[dict[int, float]], grades: np.ndarray, index: dict[str, int],
 
 
 def learn(docs: DataFrame, labels: DataFrame, where=None, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Fits on at most `per_class` labelled documents of each class; equal texts of the sample count once."""
+    """Fits on at most `per_class` labelled documents of each class. A doc_id counts once (with its least text), and so
+    do equal texts of the sample, as toxic if any of them is labelled so: the same tables give the same model."""
     spark = docs.sparkSession
     sample = common.labelled_sample(labels, label, per_class, where)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).select("y", "text", F.xxhash64("text").alias("h"))
-    chosen = common.materialize(joined.dropDuplicates(["h"]).select("y", "text"), "toxicity_sample")
+    joined = common.sample_texts(docs, sample).where(F.col("text").isNotNull())
+    chosen = common.materialize(joined.groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), "toxicity_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -162,8 +163,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
                 new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0] >= CUT)]
                 yield pa.RecordBatch.from_arrays([*chunk.columns, *new], [*names, "severity", "p_toxic", "grade", "toxic"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, severity double, p_toxic double, grade int, toxic boolean")
+    return docs.mapInArrow(run, common.with_columns(docs.schema, "severity double, p_toxic double, grade int, toxic boolean"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
