@@ -11,9 +11,12 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnlog.llm import common, pieces
 
@@ -33,6 +36,11 @@ class PrefixEncoder:
         self.ranks, self.pattern, self.pair_limit = ranks, pattern, pair_limit
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Gives all tokens that end at each byte, the longest first.
+        self.tokens = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.tokens.add_word(token.decode("latin-1"), (i, len(token)))
+        self.tokens.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._whole: dict[bytes, int] = {}
         self.memo = pieces.Memo(lambda piece: self.encode_piece(piece.encode()))
@@ -71,24 +79,25 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Appends to `last` (id of the last token of each prefix of `data`) what is missing for all prefixes."""
-        ranks, pairs, bytes_of = self.ranks, self._pairs, self.bytes_of
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                i = ranks.get(data[start:end])
-                if i is None:
+        stable, at = self._pairs.get, len(last)
+        left = [i << 32 for i in last]
+        for stop, (i, size) in self.tokens.iter(data.decode("latin-1"), max(0, at + 1 - self.longest)):
+            if stop < at:  # this prefix has its token: an entry of before, or a longer one
+                continue
+            start = stop - size
+            if start >= 0:  # a stable pair's second token comes out of its own bytes
+                ok = stable(left[start] | i)
+                if ok is None:
+                    ok = self.stable(last[start], i)
+                if not ok:
                     continue
-                if start:
-                    ok = pairs.get(last[start - 1] << 32 | i)
-                    if ok is None:
-                        ok = self.stable(last[start - 1], i)
-                    if not ok:
-                        continue
-                if end - start > 2 and self.reachable(data[start:end]) < 0:
-                    continue
-                last.append(i)
-                break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+            elif size > 2 and self.reachable(data[: stop + 1]) < 0:
+                continue
+            last.append(i)
+            left.append(i << 32)
+            at += 1
+        if at < len(data):
+            raise ValueError("the vocabulary lacks a single byte")
         return last
 
     def read_back(self, data: bytes, last: list[int]) -> list[int]:
@@ -154,19 +163,23 @@ def list_column(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>) of every whole text. Null text: no ids. Null ids of rows and repeated rows stay as
-    they are; other columns are not read. Empty table: empty result. A long text is one row of its own length."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, ids array<int>) of every whole text; with `decoded` also the bytes that the ids give back.
+
+    Null text: no ids. Null ids of rows and repeated rows stay as they are; other columns are not read. Empty table:
+    empty result. A long text is one row of its own length."""
+    names = [id_col, "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            for chunk in slices(batch, 1):
+            for chunk in slices(batch, 1, 4_000_000):
                 ids = [enc.encode(t) if t else b"" for t in chunk.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([chunk.column(0), list_column(ids)], [id_col, "ids"])
+                back = [pa.array([enc.decode(np.frombuffer(i, "<u4").tolist()) for i in ids], pa.binary())] * decoded
+                yield pa.RecordBatch.from_arrays([chunk.column(0), list_column(ids), *back], names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    own = StructType([docs.schema[id_col]])
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, common.with_columns(own, "ids array<int>" + ", decoded binary" * decoded))
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -186,8 +199,6 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8_000_000) -> Iterat
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Adds decoded (binary), the bytes of `ids`. Null ids: null."""
-    import numpy as np
-
     names = encoded.columns
     at = names.index("ids")
 
@@ -201,8 +212,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
                 out.append(b"".join(map(bytes_of, flat[offs[k] : offs[k + 1]].tolist())) if col[k].is_valid else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(run, common.with_columns(encoded.schema, "decoded binary"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +220,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(common.table(spark, sf_dir, "documents"), path, P.PATTERN), path, P.PATTERN)
+    coded = encode(common.table(spark, sf_dir, "documents"), path, P.PATTERN, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from struct import pack
 
 import regex
 
@@ -24,17 +25,22 @@ def split(text: str, pattern: str, fast: bool = True) -> list[str]:
 
 
 class Memo(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes; emptied when it reaches `limit` pieces."""
+    """piece -> its ids as little-endian unsigned 32-bit bytes. At `limit` pieces the memo becomes the older half, from
+    which pieces that come again are taken over; the older half before it goes."""
 
-    def __init__(self, encode: Callable[[str], list[int]], limit: int = 400_000, width: int = 4):
+    def __init__(self, encode: Callable[[str], list[int]], limit: int = 200_000):
         super().__init__()
-        self.encode, self.limit, self.width = encode, limit, width
+        self.encode, self.limit, self.older = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = b"".join([i.to_bytes(self.width, "little") for i in self.encode(piece)])
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.encode(piece)
+            ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
