@@ -2,12 +2,15 @@
 
 The memo encodes unseen pieces with tiktoken's merge loop over ranks that are read from the JSON itself, which
 gives the ids of the tokenizers library wherever merges are listed in id order; other files go to that library.
-Strings of special tokens in a text are ordinary text.
+A text that holds the content of an added token, such as a special one, goes to the library as a whole: so the ids
+are those of the library's plain call, which gives such a string the token's id.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from struct import pack
 
 from cairnlog.llm import pieces
 
@@ -42,25 +45,26 @@ class JsonEncoder:
             and model.get("dropout") is None
         )
         self.size = max(model["vocab"].values()) + 1
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.path, self.library = path, None
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         if self.plain:
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+            ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
             core = tiktoken.Encoding("json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             single = core._encode_single_piece
-            self.memo = pieces.Memo(lambda piece: single(piece))
-        else:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
-            self.library.encode_special_tokens = True
+            self.memo = pieces.Memo(lambda piece: single(piece), limit=50_000)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.plain:
+        if self.plain and not (self.added and self.added.search(text)):
             return self.memo.ids(pieces.split(text, PATTERN))
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> JsonEncoder:

@@ -17,7 +17,7 @@ import math
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -112,26 +112,31 @@ class Writer:
 
 
 class Shard:
-    """Reads one shard's bytes."""
+    """Reads one shard by (offset, length): only footer, index and Bloom filter at first, then single blocks."""
 
-    def __init__(self, data: bytes):
-        if len(data) < FOOTER.size + 1 or data[-1:] != b"\n":
+    def __init__(self, size: int, read: Callable[[int, int], bytes]):
+        if size < FOOTER.size + 1 or (tail := read(size - FOOTER.size - 1, FOOTER.size + 1))[-1:] != b"\n":
             raise ValueError("not a complete shard")
-        at, n, bloom_at, bloom_n, self.docs, self.ids, self.width, magic = FOOTER.unpack(data[-FOOTER.size - 1 : -1])
+        at, n, bloom_at, bloom_n, self.docs, self.ids, self.width, magic = FOOTER.unpack(tail[:-1])
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        self.data, self.bloom = data, data[bloom_at : bloom_at + bloom_n]
+        index, self.read = read(at, n), read
+        self.bloom = read(bloom_at, bloom_n)
         self.lasts, self.blocks = [], []
-        end, p = at + n, at
-        while p < end:
-            size, p = read_varint(data, p)
-            self.lasts.append(data[p : p + size])
-            self.blocks.append(struct.unpack_from("<QII", data, p + size))
+        p = 0
+        while p < n:
+            size, p = read_varint(index, p)
+            self.lasts.append(index[p : p + size])
+            self.blocks.append(struct.unpack_from("<QII", index, p + size))
             p += size + 16
 
+    @classmethod
+    def of(cls, data: bytes | memoryview) -> Shard:
+        return cls(len(data), lambda at, n: bytes(data[at : at + n]))
+
     def entries(self, block: int) -> Iterator[tuple[bytes, bytes]]:
         at, size, crc = self.blocks[block]
-        data, p, key = self.data[at : at + size], 0, b""
+        data, p, key = self.read(at, size), 0, b""
         if zlib.crc32(data) != crc:
             raise ValueError("a block's checksum is wrong")
         while p < size:
@@ -164,30 +169,29 @@ class Shard:
         return out
 
 
-def write(docs: DataFrame, path: str, vocab_path: str, end_id: int, shard_bytes: int = 24_000_000) -> None:
+def write(docs: DataFrame, path: str, vocab_path: str, end_id: int, shard_bytes: int = 16_000_000) -> None:
     """Writes shards of (doc_id, ids of text, then end_id) in ascending order of doc_id under `path`.
 
     Null text: end_id alone. A null doc_id sorts first; repeated rows and repeated identifiers are all kept, those
     of one identifier in the order of their texts' hashes. An empty table gives no shard. Columns beyond doc_id and
-    text are not read. The number of shards follows the size of the input, so each can be read as one value.
+    text are not read. The number of shards follows the measured size of the texts, so each can be read as one value.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    size = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(size, 1 << 50) / shard_bytes))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(size / shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = json_bpe.encoder(vocab_path), None
         width = 2 if max(enc.size, end_id + 1) <= 65536 else 4
         end, held, size = end_id.to_bytes(width, "little"), [], 0
         for batch in batches:
-            for chunk in slices(batch, 1):
+            for chunk in slices(batch, 1, 2_000_000):
                 for doc_id, text in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True):
                     out = out or Writer(width)
                     for section in out.add(doc_id, narrow(enc.encode(text), width) + end):
                         held.append(section)
                         size += len(section)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["section"])
                     held, size = [], 0
         if out:
@@ -196,7 +200,7 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int, shard_bytes:
     sections = (
         rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(run, "section binary")
     )
-    sections.select(F.col("section").cast("string").alias("value")).write.text(path)
+    sections.select(F.col("section").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
 
 
 def narrow(ids: bytes, width: int) -> bytes:
@@ -211,26 +215,6 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
 
 
-def totals(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, docs, ids) from the footers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [footer(batch.column(1)[k].as_buffer()) for k in range(batch.num_rows)]
-            sums = [pa.array([c[i] for c in counts], pa.int64()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sums], ["shard", "docs", "ids"])
-
-    return files(spark, path).mapInArrow(run, "shard int, docs long, ids long")
-
-
-def footer(data: pa.Buffer) -> tuple[int, int]:
-    """Documents and ids that a shard's footer counts."""
-    fields = FOOTER.unpack(data[data.size - FOOTER.size - 1 : data.size - 1].to_pybytes())
-    if fields[-1] != MAGIC:
-        raise ValueError("not a shard of token ids")
-    return fields[4], fields[5]
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(shard, doc_id, shard_start, ids binary of unsigned 32-bit little-endian ids) of every document, from the files."""
     import numpy as np
@@ -240,13 +224,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, number = Shard(batch.column(1)[k].as_py()), batch.column(0)[k].as_py()
+                shard, number = Shard.of(memoryview(batch.column(1)[k].as_buffer())), batch.column(0)[k].as_py()
                 rows, size, at = [], 0, 0
                 for doc_id, value in shard.all():
                     ids = value if shard.width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
                     rows.append((number, doc_id, at, ids))
                     at, size = at + len(ids) // 4, size + len(ids)
-                    if size > 4_000_000:
+                    if size > 1_000_000:
                         yield arrow(rows)
                         rows, size = [], 0
                 if rows:
@@ -259,21 +243,44 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).mapInArrow(run, "shard int, doc_id long, shard_start long, ids binary")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """(doc_id, ids) of the given identifiers: each shard asks its Bloom filter and index, one block per hit."""
-    wanted = list(doc_ids)
+class Reader:
+    """Point lookups from the driver: footers, indexes and blocks are read by seeking, never whole shards. Shards are in
+    ascending order of keys, so those of an identifier are found by binary search over the shards' last keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                shard, hits = Shard(batch.column(1)[k].as_py()), []
-                for doc_id in wanted:
-                    for v in shard.get(doc_id):
-                        step = shard.width
-                        hits.append((doc_id, [int.from_bytes(v[i : i + step], "little") for i in range(0, len(v), step)]))
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.list_(pa.int32()))], ["doc_id", "ids"])
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark.sparkContext._jvm
+        root = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [(s.getPath(), s.getLen()) for s in self.fs.listStatus(root) if s.getPath().getName().startswith("part-") and s.getLen()]
+        found.sort(key=lambda f: int(f[0].getName().split("-")[1].split(".")[0]))
+        self.shards = [Shard(size, lambda at, n, file=file: self.bytes_at(file, at, n)) for file, size in found]
+        self.lasts = [s.lasts[-1] for s in self.shards]
 
-    return files(spark, path).mapInArrow(run, "doc_id long, ids array<int>")
+    def bytes_at(self, file, at: int, n: int) -> bytes:
+        stream = self.fs.open(file)
+        try:
+            stream.seek(at)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+    def get(self, doc_id: int | None) -> list[bytes]:
+        """Values of one identifier, from the first shard that may hold it and those that follow while their keys do."""
+        key, out = key_of(doc_id), []
+        for k in range(bisect_left(self.lasts, key), len(self.shards)):
+            out += self.shards[k].get(doc_id)
+            if self.lasts[k] > key:
+                break
+        return out
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids) of a few identifiers, a row for each value found, by seeks (see Reader). For many, filter `read`."""
+    reader, hits = Reader(spark, path), []
+    width = reader.shards[0].width if reader.shards else 4
+    for doc_id in doc_ids:
+        hits += [(doc_id, [int.from_bytes(v[i : i + width], "little") for i in range(0, len(v), width)]) for v in reader.get(doc_id)]
+    return spark.createDataFrame(hits, "doc_id long, ids array<int>")
 
 
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,11 +289,9 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = common.scratch_path(spark, "token_shards")
     write(common.table(spark, sf_dir, "documents"), path, P.path("byte_bpe_50k.json"), end_id=2)
+    found = read(spark, path).select("shard", "doc_id", "shard_start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    found = common.materialize(found, "shard_rows")  # so each shard is read once
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals(spark, path).select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return (
-        read(spark, path)
-        .select("shard", "doc_id", "shard_start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-        .join(bases, "shard")
-        .select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    sizes = found.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
+    bases = sizes.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))  # one row a shard
+    return found.join(bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

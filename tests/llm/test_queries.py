@@ -12,7 +12,7 @@ import corpus_pipeline
 from cairnlog.llm import common, components, lm, minhash, packing, pii, quality, rules, sstable, toxicity
 from cairnlog.llm.registry import QUERIES
 
-ODD_ROWS = [(900001, None), (900002, ""), (900003, " \n\t "), (900004, "one"), (900005, "one"), (None, "null id"), (900006, "x " * 30_000), (900007, "word\x85still"), (900008, "same lines\nsame lines\n\nsame lines")]
+ODD_ROWS = [(900001, None), (900002, ""), (900003, " \n\t "), (900004, "one"), (900005, "one"), (None, "null id"), (900006, "x " * 30_000), (900007, "word\x85still"), (900008, "same lines\nsame lines\n\nsame lines"), (900009, "a <|endoftext|> b")]
 
 
 @pytest.fixture(scope="module")
@@ -95,7 +95,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return own.encode(text or "", add_special_tokens=False).ids
 
 
