@@ -10,13 +10,15 @@ The class is predicted by a maximum-entropy model over the word before (n-gram),
 follows each history in the whole training set, gradient updates run distributed over that table, and scoring looks
 its log-probabilities up, document by document, in numpy.
 
-n counts every pair of neighbouring words of the training set, whatever their rank: a distributed table keyed by a
-64-bit hash that grows with the input and is joined with the pairs of the scored texts, never collected.
+n counts every pair of neighbouring words of the training set, whatever their rank, by hashes whose number of bits
+grows with the number of tokens (a pair that never occurred meets another one's hash with a chance under 1/256). The
+counts of words and pairs are distributed tables that grow with the input; blocks of documents look them up by packed
+cells (see cells.py) and are never joined row by row.
 """
 
 from __future__ import annotations
 
-import hashlib
+import copy
 import logging
 import math
 import zlib
@@ -30,16 +32,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlog.llm import common
+from cairnlog.llm import cells, common
 from cairnlog.llm.bpe import slices
+from cairnlog.llm.wordhash import hash_words, mix
 
 log = logging.getLogger(__name__)
 END = ""  # no word is empty
-HEAD, CLASSES, OWN, JOINT, BLOCKS, SALTS = 300_000, 32, 224, 4096, 48, 512
+HEAD, CLASSES, OWN, JOINT, BLOCKS, SALTS = 300_000, 32, 224, 4096, 48, 32
 PRIOR = 50.0  # occurrences of the word before that Q weighs as much as
 LAST = CLASSES - 1  # the class of END; also that of what stands before a text
 BUCKETS = OWN + CLASSES
 HISTORIES = BUCKETS * CLASSES * CLASSES
+CHUNK = 2_000_000  # bytes of text that are worked on at a time
+PER_PART = 1_000_000  # training tokens for each range of keys
+END_HASH = np.uint64(0x5851F42D4C957F2D)
+_U = np.uint64
 
 
 def tokens(text: str | None) -> list[str]:
@@ -70,55 +77,66 @@ def count_tokens(docs: DataFrame, limit: int = 300_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Ids(dict):
-    """word -> its rank in the head, or -1."""
+def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the tokens of each text, END last; those of text i are first[i]:first[i + 1]."""
+    h, first = hash_words(column)
+    n = len(column)
+    at = first + np.arange(n + 1)
+    out = np.empty(len(h) + n, np.uint64)
+    ends = np.zeros(len(out), bool)
+    ends[at[1:] - 1] = True
+    out[ends], out[~ends] = END_HASH, h
+    return out, at
 
-    def __missing__(self, word: str) -> int:
-        return -1
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The hash of each word; END is no word."""
+    h, first = hash_words(pa.array(words, pa.string()))
+    out = np.full(len(words), END_HASH)
+    out[first[1:] > first[:-1]] = h
+    return out
 
-class Hashes(dict):
-    """word -> a 64-bit hash, the same in every process."""
 
-    def __missing__(self, word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        if len(self) < 300_000:
-            self[word] = h
-        return h
+def pair_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A key of (token before, token) for each position; END stands before a text."""
+    before = np.concatenate((END_HASH[None], h[:-1]))[: len(h)]
+    before[first[:-1][first[:-1] < len(h)]] = END_HASH
+    with np.errstate(over="ignore"):
+        return mix(before * _U(0x9E3779B97F4A7C15) + h)
 
 
-def pair_keys(words: list[str], hashes: Hashes) -> np.ndarray:
-    """A key of (word before, word) for each position of one text; END stands before the first."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    before = np.concatenate((np.array([hashes[END]], np.uint64), h[:-1]))
-    x = before * np.uint64(0x9E3779B97F4A7C15) + h
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
+@dataclass(frozen=True)
+class Pairs:
+    """Packed counts of pairs, the low bits that their keys lack, and the number of key ranges."""
 
+    cells: DataFrame
+    shift: int
+    parts: int
 
-def count_pairs(docs: DataFrame, limit: int = 2_000_000) -> DataFrame:
-    """(k, n) of all neighbouring words over all rows: counted in the tasks, about `limit` at a time, then summed."""
+
+def count_pairs(docs: DataFrame, total: int, per_part: int = PER_PART) -> Pairs:
+    """All neighbouring words of `docs`, which hold `total` tokens, counted in the tasks by blocks of texts."""
+    shift, parts = max(0, 56 - max(1, total).bit_length()), max(1, -(-total // per_part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        for batch in batches:
+            for chunk in slices(batch, 0, CHUNK):
+                keys, n = np.unique(pair_keys(*token_hashes(chunk.column(0))) >> _U(shift), return_counts=True)
+                yield cells.batch_of(list(cells.cells_of(keys << _U(shift), n, 1, -1, shift, parts)))
 
-        def flush() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
+    return Pairs(docs.select("text").mapInArrow(run, cells.SCHEMA), shift, parts)
 
+
+def word_cells(counts: DataFrame, parts: int) -> DataFrame:
+    """The counts of words (word, c) as cells by the words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in slices(batch, 0, 2_000_000):
-                for text in chunk.column(0).to_pylist():
-                    held.append(pair_keys(tokens(text), hashes))
-                    size += len(held[-1])
-                if size >= limit:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+            h = word_hashes(batch.column(0).to_pylist())
+            order = np.argsort(h)
+            yield cells.batch_of(list(cells.cells_of(h[order], np.asarray(batch.column(1), np.uint64)[order], 0, -1, 0, parts)))
 
-    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return counts.select("word", "c").mapInArrow(run, cells.SCHEMA)
 
 
 @dataclass
@@ -129,12 +147,27 @@ class Vocabulary:
     total: int  # N
     distinct: int  # V
 
-    def lookup(self) -> Ids:
-        return Ids(zip(self.words, range(len(self.words)), strict=True))
+    def __post_init__(self):
+        h = word_hashes(self.words)
+        self.rank = np.argsort(h)
+        self.hashes = h[self.rank]
+
+    def bare(self) -> Vocabulary:
+        """A copy for the tasks, which know words by their hashes."""
+        out = copy.copy(self)
+        out.words = []
+        return out
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """The rank in the head of each hashed token, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.rank[at], -1)
 
     def buckets(self) -> np.ndarray:
         """What the word before a position contributes to its history; the last entry is for words outside the head."""
-        rank = np.arange(len(self.words))
+        rank = np.arange(len(self.counts))
         return np.append(np.where(rank < OWN, rank, OWN + self.classes), OWN).astype(np.int64)
 
 
@@ -171,12 +204,13 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(words, c, classes.astype(np.int64), total, distinct)
 
 
-def histories(ids: np.ndarray, buckets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history, class) of each position of one text, from its head ranks; classes[-1] is the class of other words."""
+def histories(ids: np.ndarray, first: np.ndarray, buckets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(history, class) of each position of the texts first[i]:first[i + 1], from head ranks; classes[-1] is the class of
+    other words. Nothing is seen across the beginning of a text."""
     cls = classes[ids]
-    one = np.concatenate(([OWN + LAST], buckets[ids[:-1]]))
-    two = np.concatenate(([LAST, LAST], cls[:-2]))[: len(ids)]
-    three = np.concatenate(([LAST, LAST, LAST], cls[:-3]))[: len(ids)]
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    back = lambda x, n, none: np.where(place >= n, np.concatenate((np.full(n, none), x))[: len(x)], none)
+    one, two, three = back(buckets[ids], 1, OWN + LAST), back(cls, 2, LAST), back(cls, 3, LAST)
     return (one * CLASSES + two) * CLASSES + three, cls
 
 
@@ -195,16 +229,13 @@ def gather(docs: DataFrame, vocab, width: int = BLOCKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
-        find, buckets, classes = v.lookup().__getitem__, v.buckets(), np.append(v.classes, 0)
+        buckets, classes = v.buckets(), np.append(v.classes, 0)
         table = np.zeros(HISTORIES * CLASSES, np.uint32)
         for batch in batches:
-            for chunk in slices(batch, 0, 2_000_000):
-                cells = []
-                for text in chunk.column(0).to_pylist():
-                    words = tokens(text)
-                    h, c = histories(np.fromiter(map(find, words), np.int64, len(words)), buckets, classes)
-                    cells.append(h * CLASSES + c)
-                at, n = np.unique(np.concatenate(cells), return_counts=True)
+            for chunk in slices(batch, 0, CHUNK):
+                tokens_of, first = token_hashes(chunk.column(0))
+                h, c = histories(v.ids(tokens_of), first, buckets, classes)
+                at, n = np.unique(h * CLASSES + c, return_counts=True)
                 table[at] += n.astype(np.uint32)
         salt = TaskContext.get().partitionId() % SALTS
         rows = [pack(b, own(table, b, width)) for b in range(width)]
@@ -277,7 +308,7 @@ def train(table: DataFrame, totals: np.ndarray, rounds: int = 20, rate: float =
                         g[r[order][first]] += np.add.reduceat(off[order], first) if len(first) else 0
             yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary()), pa.array([loss])], ["g", "loss"])
 
-        parts = table.coalesce(4).mapInArrow(run, "g binary, loss double").collect()
+        parts = table.coalesce(8).mapInArrow(run, "g binary, loss double").collect()
         g = sum(np.frombuffer(bytes(p.g), np.float32).reshape(ROWS, CLASSES).astype(np.float64) for p in parts) + penalty * w * (np.arange(ROWS) < ROWS - 1)[:, None]
         g /= n
         sums += g * g
@@ -296,7 +327,7 @@ class Model:
         v = self.vocab
         mass = np.bincount(v.classes, v.counts, CLASSES) if len(v.words) else np.zeros(CLASSES)
         self.inside = np.log10(v.counts / np.maximum(mass[v.classes], 1)) if len(v.words) else np.zeros(0)
-        self.base = np.append(np.log10(v.counts + 1.0), 0.0)
+        self.ends = int(v.counts[v.words.index(END)]) if END in v.words else 0  # what stands before a text
         rest = v.total - int(v.counts.sum()) + v.distinct - len(v.words) + 1
         self.inside = np.append(self.inside, -math.log10(rest))  # of another word, but for log10(c + 1)
 
@@ -304,7 +335,7 @@ class Model:
 def learn(docs: DataFrame, counts: DataFrame, head: int = HEAD) -> Model:
     """The model from all of `docs`, whose words are counted in `counts`."""
     vocab = vocabulary(counts, head)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = docs.sparkSession.sparkContext.broadcast(vocab.bare())
     table = common.materialize(gather(docs, shared), "histories")
     totals = np.bincount(vocab.classes, vocab.counts, CLASSES) if len(vocab.words) else np.zeros(CLASSES)
     totals[0] += vocab.total - int(vocab.counts.sum())
@@ -316,80 +347,90 @@ def learn(docs: DataFrame, counts: DataFrame, head: int = HEAD) -> Model:
     return Model(vocab, out)
 
 
-def score(docs: DataFrame, counts: DataFrame, pairs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of `keep`, n_tokens, n_known, base_score and score of every row of `docs`.
-
-    Q of head words comes from the tasks; the counts of all other words come by a join on the word, those of pairs by a
-    join on their key. Null or empty text
-    is END alone. Repeated rows, null ids and equal ids stay rows of their own; extra columns are not read unless
-    named in `keep`; an empty table gives an empty result, and an empty training set a model of one class."""
-    spark = docs.sparkSession
-    shared, all_counts = spark.sparkContext.broadcast(model), counts
-    v = model.vocab
-    kept = ["doc_id", *keep]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = ["row", "word", *kept, "n_tokens", "head_known", "head_base", "part", "k", "q", "before"]
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """(chunk, data): the rows of `docs`, whose last column is the text, in compressed blocks of about CHUNK bytes."""
+    at = len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        find, buckets, classes = m.vocab.lookup().__getitem__, m.vocab.buckets(), np.append(m.vocab.classes, 0)
-        weight, hashes, end = np.append(np.log10(m.vocab.counts + PRIOR), 0.0), Hashes(), find(END)
-        row = TaskContext.get().partitionId() << 36
+        number, options = TaskContext.get().partitionId() << 36, pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            for chunk in slices(batch, at, CHUNK):
+                sink = pa.BufferOutputStream()
+                own = pa.Table.from_batches([chunk]).combine_chunks().to_batches()[0]  # a slice would be written with its whole buffers
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
+                number += 1
+
+    return common.materialize(docs.mapInArrow(run, "chunk long, data binary"), "lm_blocks")
+
+
+def block(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def score(docs: DataFrame, counts: DataFrame, pairs: Pairs, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep`, n_tokens, n_known, base_score and score of every row of `docs`.
+
+    The documents are cut into blocks. A block asks for the counts of its words outside the head and of its pairs, all
+    distinct, and is scored once the answers are back. Null or empty text is END alone. Repeated rows, null ids and
+    equal ids stay rows of their own; extra columns are not read unless named in `keep`; an empty table gives an empty
+    result, and an empty training set a model of one class."""
+    light = copy.copy(model)
+    light.vocab = model.vocab.bare()
+    shared = docs.sparkSession.sparkContext.broadcast(light)
+    shift, parts, last = pairs.shift, pairs.parts, len(keep) + 1
+    each = math.log10(model.vocab.total + model.vocab.distinct + 1)
+    blocks = blocks_of(docs.select("doc_id", *keep, "text"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value.vocab
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, first = token_hashes(block(data.as_py()).column(last))
+                keys = np.unique(pair_keys(h, first) >> _U(shift)) << _U(shift)
+                rows = list(cells.cells_of(np.unique(h[v.ids(h) < 0]), None, 0, number, 0, parts))
+                yield cells.batch_of(rows + list(cells.cells_of(keys, None, 1, number, shift, parts)))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, texts, got = shared.value, None, ([], [])
         for batch in batches:
-            for chunk in slices(batch, len(kept), 2_000_000):
-                rows, n, known, base, part, extra = [], [], [], [], [], []
-                for text in chunk.column(len(kept)).to_pylist():
-                    words = tokens(text)
-                    ids = np.fromiter(map(find, words), np.int64, len(words))
-                    h, c = histories(ids, buckets, classes)
-                    outside = np.flatnonzero(ids < 0).tolist()
-                    rows.append(row)
-                    n.append(len(words))
-                    known.append(len(words) - len(outside))
-                    base.append(float(m.base[ids].sum()))
-                    q = m.table[h, c] + m.inside[ids]
-                    before = np.concatenate(([end], ids[:-1]))
-                    part.append(float(q.sum() - weight[before].sum()))
-                    rare = np.empty(len(words), object)
-                    rare[outside] = [words[k] for k in outside]
-                    extra.append((np.full(len(words), row), rare, pair_keys(words, hashes), q, np.zeros(len(words), bool)))
-                    after = np.flatnonzero(before < 0)
-                    prev = np.array([words[k - 1] if k else END for k in after.tolist()], object)
-                    extra.append((np.full(len(after), row), prev, np.zeros(len(after), np.int64), np.zeros(len(after)), np.ones(len(after), bool)))
-                    row += 1
-                own = [pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.string()), *chunk.columns[: len(kept)]]
-                own += [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(part)]
-                own += [pa.nulls(len(rows), t) for t in (pa.int64(), pa.float32(), pa.bool_())]
-                yield pa.RecordBatch.from_arrays(own, names)
-                at, w, k, q, prev = (np.concatenate([e[x] for e in extra]) for x in range(5))
-                for s in range(0, len(at), 50_000):
-                    e = slice(s, s + 50_000)
-                    rest = [pa.nulls(len(at[e]), x.type) for x in own[2:-3]]
-                    some = [pa.array(at[e]), pa.array(w[e], pa.string()), *rest, pa.array(k[e]), pa.array(q[e].astype(np.float32)), pa.array(prev[e])]
-                    yield pa.RecordBatch.from_arrays(some, names)
-
-    schema = ["row long, word string", *(f"`{c}` {kinds[c]}" for c in kept), "n_tokens long, head_known long, head_base double, part double, k long, q float, before boolean"]
-    mixed = common.materialize(docs.select(*kept, "text").mapInArrow(run, ", ".join(schema)), "lm_rows")
-    rare = mixed.where("word IS NOT NULL").select("row", "word", "k", "q", "before").join(all_counts, "word", "left")
-    rare = rare.withColumn("c", F.coalesce("c", F.lit(0)))
-    asked = mixed.where("word IS NULL AND k IS NOT NULL").select("row", "k", "q")
-    asked = asked.unionByName(rare.where("NOT before").select("row", "k", (F.col("q") + F.log10(F.col("c") + 1)).cast("float").alias("q")))
-    more = F.log10(1 + F.col("n") / (PRIOR * F.pow(F.lit(10.0), F.col("q").cast("double"))))
-    gain = asked.join(pairs, "k").groupBy("row").agg(F.sum(more).alias("gain"))
-    tail = rare.groupBy("row").agg(
-        F.count(F.when(~F.col("before") & (F.col("c") > 0), 1)).alias("tail_known"),
-        F.sum(F.when(~F.col("before"), F.log10(F.col("c") + 1))).alias("tail_base"),
-        F.sum(F.when(F.col("before"), F.log10(F.col("c") + PRIOR))).alias("tail_weight"),
-    )
-    out = mixed.where("k IS NULL").join(tail, "row", "left").join(gain, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    each = math.log10(v.total + v.distinct + 1)
-    return out.select(
-        *kept, "n_tokens",
-        (F.col("head_known") + zero("tail_known")).alias("n_known"),
-        (F.col("head_base") + zero("tail_base") - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        (F.col("part") + zero("tail_base") - zero("tail_weight") + F.col("n_tokens") * math.log10(PRIOR) + zero("gain")).alias("score"),
-    )
+            for part, kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if part < 0:
+                    if texts is not None:
+                        yield scored(m, texts, got)
+                    texts, got = block(data.as_py()), ([], [])
+                else:
+                    got[kind].append(cells.unpack(data.as_py()))
+        if texts is not None:
+            yield scored(m, texts, got)
+
+    def scored(m: Model, texts: pa.RecordBatch, got: tuple[list, list]) -> pa.RecordBatch:
+        v = m.vocab
+        h, first = token_hashes(texts.column(last))
+        ids = v.ids(h)
+        c = np.append(v.counts, 0)[ids]
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            c[rare] = np.concatenate(got[0]).astype(np.int64)[np.unique(h[rare], return_inverse=True)[1]]
+        n = np.concatenate(got[1]).astype(np.int64)[np.unique(pair_keys(h, first) >> _U(shift), return_inverse=True)[1]]
+        at, cls = histories(ids, first, v.buckets(), np.append(v.classes, 0))
+        log_c = np.log10(c + 1.0)
+        q = m.table[at, cls].astype(np.float64) + m.inside[ids] + np.where(ids < 0, log_c, 0)
+        before = np.concatenate(([0], c[:-1]))
+        before[first[:-1]] = m.ends
+        each_score = np.log10(n + PRIOR * 10.0**q) - np.log10(before + PRIOR)
+        sums = [np.add.reduceat(x, first[:-1]) for x in ((c > 0).astype(np.int64), log_c, each_score)]
+        size = np.diff(first)
+        own = [pa.array(size), pa.array(sums[0]), pa.array(sums[1] - size * each), pa.array(sums[2])]
+        return pa.RecordBatch.from_arrays([*texts.columns[:-1], *own], [*texts.schema.names[:-1], "n_tokens", "n_known", "base_score", "score"])
+
+    asked = blocks.mapInArrow(ask, cells.SCHEMA)
+    told = cells.answer(word_cells(counts, parts).unionByName(pairs.cells), asked, (0, shift))
+    both = blocks.select("chunk", F.lit(-1).alias("part"), F.lit(0).alias("kind"), "data").unionByName(told.select("chunk", "part", "kind", F.col("n").alias("data")))
+    names = ["doc_id", *keep]
+    schema = common.with_columns(docs.select(*names).schema, "n_tokens long, n_known long, base_score double, score double")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part", "kind").mapInArrow(finish, schema)
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,5 +440,6 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = docs.where(~out)
     counts = common.materialize(count_tokens(seen), "word_counts")
     model = learn(seen, counts)
-    scored = score(docs, counts, count_pairs(seen), model)
-    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
+    total = model.vocab.total
+    scored = score(docs, counts, count_pairs(seen, total), model)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
