@@ -19,11 +19,11 @@ def read_changes(spark: SparkSession, path: str, files_a_batch: int = 100) -> Da
 
 
 def into_store(changes: DataFrame, store: Store, checkpoint: str, maintain: bool = True) -> StreamingQuery:
-    """Commits each micro-batch to the store. Batches must come in the order of seq: a batch that is sent again after a
-    restart is known by its seq and changes nothing."""
+    """Commits each micro-batch to the store. A batch that is sent again after a restart is known by the checkpoint and
+    its number; changes may come in any order, since their seq decides."""
 
-    def commit(batch: DataFrame, _: int) -> None:
-        store.write(batch)
+    def commit(batch: DataFrame, number: int) -> None:
+        store.write(batch, checkpoint, number)
         if maintain:
             store.maintain()
 

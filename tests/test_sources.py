@@ -122,3 +122,62 @@ def test_manifest_damage():
     assert Manifest.decode(text) == Manifest()
     with pytest.raises(ValueError):
         Manifest.decode(text.replace('\\"applied\\": 0', '\\"applied\\": 5'))
+
+
+KIND = "seq long, op int, k string, v string"
+
+
+def test_late_changes_are_kept(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write(spark.createDataFrame([(10, 1, "a", "10"), (11, 1, "b", "11")], KIND))
+    store.write(spark.createDataFrame([(5, 1, "new", "5"), (6, 1, "a", "6")], KIND))
+    assert image(store) == {"a": "10", "b": "11", "new": "5"} and store.manifest.applied == 11
+    version = store.manifest.version
+    store.write(spark.createDataFrame([(5, 1, "new", "5"), (6, 1, "a", "6")], KIND))  # nothing new: no version
+    assert store.manifest.version == version and store.orphans() == []
+
+
+def test_numbered_batches_count_once(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store, batch = Store(spark, path), spark.createDataFrame([(1, 1, "a", "1")], KIND)
+    store.write(batch, "feed", 0)
+    store.write(batch, "feed", 0)
+    assert store.manifest.version == 1
+    Store(spark, path).write(spark.createDataFrame([(2, 1, "a", "2")], KIND), "feed", 0)  # known from the manifest
+    store.write(spark.createDataFrame([(3, 1, "a", "3")], KIND), "feed", 1)
+    assert image(Store(spark, path)) == {"a": "3"}
+
+
+def test_a_late_change_behind_a_dropped_delete_fails(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", l0_trigger=2)
+    store.write(spark.createDataFrame([(1, 1, "a", "1"), (2, 1, "b", "2")], KIND))
+    store.write(spark.createDataFrame([(9, 2, "a", "")], KIND))
+    assert store.maintain() == 1 and store.manifest.forgotten == 9
+    left = store.orphans()
+    with pytest.raises(ValueError):
+        store.write(spark.createDataFrame([(4, 1, "a", "4")], KIND))
+    assert image(store) == {"b": "2"} and store.orphans() == left
+    store.write(spark.createDataFrame([(12, 1, "a", "12")], KIND))
+    assert image(store) == {"a": "12", "b": "2"}
+
+
+def test_a_lost_race_closes_the_store_to_writes(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    one, two = Store(spark, path), Store(spark, path)
+    one.put("a", "1")
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            two.put("a", "2")
+    assert image(Store(spark, path)) == {"a": "1"}
+
+
+def test_large_batches_are_written_in_ranges(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", l0_trigger=2)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        store.write(spark.range(4000).selectExpr("id + 1 AS seq", "1 AS op", "lpad(id, 8, '0') AS k", "repeat('v', 20) AS v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    tables = store.manifest.levels[0]
+    assert len(tables) > 1 and all(a.hi < b.lo for a, b in zip(tables, tables[1:], strict=False)) and store.due() is None
+    assert store.snapshot().count() == 4000
