@@ -173,11 +173,11 @@ def test_a_lost_race_closes_the_store_to_writes(spark, tmp_path):
 
 def test_large_batches_are_written_in_ranges(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", l0_trigger=2)
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     try:
         store.write(spark.range(4000).selectExpr("id + 1 AS seq", "1 AS op", "lpad(id, 8, '0') AS k", "repeat('v', 20) AS v"))
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     tables = store.manifest.levels[0]
     assert len(tables) > 1 and all(a.hi < b.lo for a, b in zip(tables, tables[1:], strict=False)) and store.due() is None
     assert store.snapshot().count() == 4000
