@@ -39,3 +39,9 @@ def liveness(files: DataFrame, live: DataFrame, log_num: int) -> DataFrame:
         .when(F.col("kind") == "sst", F.when(F.col("listed"), "open").otherwise("delete"))
         .when(F.col("kind") == "wal", F.when(F.col("num") >= log_num, "replay").otherwise("delete"))
         .otherwise("ignore").alias("action"))
+
+
+def shared_addresses(peers_: DataFrame) -> DataFrame:
+    """(addr, members): addresses, of either kind, that more than one member names."""
+    one = peers_.select(F.explode(F.array("raft_addr", "client_addr")).alias("addr"))
+    return one.where("addr <> ''").groupBy("addr").agg(F.count("*").alias("members")).where("members > 1")

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cairnlog.sources.scratch import fixed
 
@@ -60,9 +61,10 @@ def reset_pieces(df: DataFrame, order: list[str], size: str, limit: int, name: s
 
     Sizes must not be null or negative. An empty table gives an empty result."""
     spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    dealt = fixed(dealt)  # range bounds come from a sample, which a second job would draw anew
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
+    # Bounds come from a sample, which a second job would draw anew. Where many shuffle partitions are set, Spark joins
+    # small ones, so a partition follows the bytes; its sizes (8 bytes a row) are held by one task.
+    dealt = fixed(dealt)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes, pid = [], -1
@@ -102,5 +104,4 @@ def reset_pieces(df: DataFrame, order: list[str], size: str, limit: int, name: s
             piece += len(at)
             yield out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return dealt.mapInPandas(number, f"{schema}, {name} long")
+    return dealt.mapInPandas(number, StructType([*df.schema.fields, StructField(name, LongType())]))

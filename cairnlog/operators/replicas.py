@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlog.operators import versions
+from cairnlog.sources.scratch import fixed
 
 SNAPSHOT_TRIGGER = 128
 
@@ -113,12 +114,112 @@ def catch_up(acks: DataFrame, batch: int = 8) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    """(name, v): exact order statistics at floor(q * (n - 1)). Counts of distinct values are summed up in order, so
-    the rows that one task orders are distinct values, not observations."""
-    seen = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = seen.select("v", "c", F.sum("c").over(W.orderBy("v")).alias("upto"))
-    n = rows.agg(F.count(value).alias("n"))
+    """(name, v): exact order statistics at floor(q * (n - 1)). Distinct values are counted and dealt out in ranges; sums
+    over ranges tell in which one a point lies, and only those ranges are ordered."""
+    seen = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    dealt = fixed(seen.repartitionByRange("v").withColumn("pid", F.spark_partition_id()))  # bounds come from a sample
+    sums = dealt.groupBy("pid").agg(F.sum("c").alias("s"))
+    sums = sums.select("pid", (F.sum("s").over(W.orderBy("pid")) - F.col("s")).alias("base"), "s")  # a row for each range
+    n = dealt.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     asked = rows.sparkSession.createDataFrame(list(points.items()), "name string, q double")
     place = asked.crossJoin(F.broadcast(n)).select("name", F.floor(F.col("q") * (F.col("n") - 1)).alias("at"))  # one row
-    hit = upto.join(F.broadcast(place), (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c")))  # a few points
-    return hit.select("name", "v")
+    where = sums.join(F.broadcast(place), (F.col("at") >= F.col("base")) & (F.col("at") < F.col("base") + F.col("s")))  # a few points
+    upto = dealt.join(F.broadcast(where), "pid").withColumn("upto", F.col("base") + F.sum("c").over(W.partitionBy("name").orderBy("v")))
+    return upto.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("c"))).select("name", "v")
+
+
+def append_outcomes(log: DataFrame, requests: DataFrame, entries: DataFrame, term: int, committed: int, base: int = 0, longest: int = 1 << 20, most: int = 256) -> DataFrame:
+    """(req, outcome, match, cut): what a member with `log` (idx, term, op, k, v) answers to each request, one by one.
+
+    A request is (req, term, prev_idx, prev_term); its entries are (req, pos from 1, term, op, k, v). Outcomes, the first
+    that holds: invalid_request (too many entries, a previous term beyond the request's), invalid_entry (terms that fall
+    or pass the request's, unknown op, content where none may be, too long), stale_term, no_match (of the entry before),
+    differs (an own entry of the same term has other content), committed (it would rewrite a committed entry), accepted.
+    Accepted requests have match, the last index that now agrees, and cut, the index from which entries are stored (null
+    if the log holds all). Requests without entries are probes of the previous entry."""
+    size = F.octet_length("k") + F.octet_length("v")
+    before = F.coalesce(F.lag("term").over(W.partitionBy("req").orderBy("pos")), F.col("prev_term"))
+    e = entries.join(requests.select("req", F.col("term").alias("of"), "prev_idx", "prev_term"), "req").withColumn("before", before)
+    bad = (F.col("term") < F.col("before")) | (F.col("term") > F.col("of")) | ~F.col("op").isin(0, 1, 2) | ((F.col("op") == 0) & (size > 0))
+    bad = bad | ((F.col("op") == 2) & (F.octet_length("v") > 0)) | (size > longest)
+    e = e.withColumn("at", F.col("prev_idx") + F.col("pos"))
+    own = log.select(F.col("idx").alias("at"), F.col("term").alias("t"), F.col("op").alias("o"), F.col("k").alias("key"), F.col("v").alias("value"))
+    j = e.join(own, "at", "left")
+    same = (F.col("t") == F.col("term")) & (F.col("o") == F.col("op")) & (F.col("key") == F.col("k")) & (F.col("value") == F.col("v"))
+    off = F.when(~F.coalesce(same, F.lit(False)), F.struct("at", (F.coalesce(F.col("t"), F.lit(-1)) == F.col("term")).alias("clash"), F.col("t").isNotNull().alias("held")))
+    told = j.groupBy("req").agg(F.count("*").alias("n"), F.max(bad).alias("bad"), F.min(off).alias("off"))
+    previous = log.select(F.col("idx").alias("prev_idx"), F.col("term").alias("own_prev"))
+    r = requests.join(previous, "prev_idx", "left").join(told, "req", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fits = F.coalesce(F.when(F.col("prev_idx") == 0, F.lit(0)).otherwise(F.col("own_prev")) == F.col("prev_term"), F.lit(False)) & (F.col("prev_idx") >= base)
+    outcome = (
+        F.when((F.col("n") > most) | (F.col("prev_term") > F.col("term")) | (F.col("term") < 1), "invalid_request")
+        .when(F.col("bad"), "invalid_entry")
+        .when(F.col("term") < term, "stale_term")
+        .when(~fits, "no_match")
+        .when(F.col("off.clash"), "differs")
+        .when(F.col("off.held") & (F.col("off.at") <= committed), "committed")
+        .otherwise("accepted")
+    )
+    r = r.withColumn("outcome", outcome)
+    ok = F.col("outcome") == "accepted"
+    return r.select("req", "outcome", F.when(ok, F.col("prev_idx") + F.col("n")).alias("match"), F.when(ok, F.col("off.at")).alias("cut"))
+
+
+def install_outcomes(requests: DataFrame, term: int, committed: int) -> DataFrame:
+    """(req, outcome, match, drops_log): what a member answers to each offered snapshot (req, term, snap_idx, snap_term).
+    A snapshot at or under the own commit changes nothing and succeeds at the own commit; a newer one replaces the image
+    and drops the whole log."""
+    bad = (F.col("term") < 1) | (F.col("snap_idx") < 1) | (F.col("snap_term") < 1) | (F.col("snap_term") > F.col("term"))
+    outcome = F.when(bad, "invalid_request").when(F.col("term") < term, "stale_term").when(F.col("snap_idx") <= committed, "held").otherwise("installed")
+    match = F.when(F.col("outcome") == "held", F.lit(committed)).when(F.col("outcome") == "installed", F.col("snap_idx"))
+    return requests.withColumn("outcome", outcome).select("req", "outcome", match.alias("match"), (F.col("outcome") == "installed").alias("drops_log"))
+
+
+def vote_trace(requests: DataFrame) -> DataFrame:
+    """(voter, seq, current, demoted, granted) of vote requests (voter, seq, term, candidate, last_term, last_idx, own_term,
+    own_idx), each voter's in order of seq: a higher term demotes the voter and frees its vote; a request of an older term
+    is refused; the first fresh candidate of a term has the vote and keeps it when it asks again. A voter's trace is
+    sorted by one task, which may spill."""
+    order = W.partitionBy("voter").orderBy("seq")
+    current = F.max("term").over(order)
+    r = requests.withColumn("current", current).withColumn("demoted", F.col("term") > F.coalesce(F.max("term").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    fits = (F.col("term") == F.col("current")) & fresh(F.col("own_term"), F.col("own_idx"))
+    chosen = F.min(F.when(fits, F.struct("seq", "candidate"))).over(W.partitionBy("voter", "term"))
+    return r.withColumn("chosen", chosen).select("voter", "seq", "current", "demoted", (fits & (F.col("chosen.candidate") == F.col("candidate"))).alias("granted"))
+
+
+def leaders_open_with_noop(log: DataFrame) -> DataFrame:
+    """(term, idx, ok): the first entry of each term, and whether it is the no-op that a new leader appends."""
+    return log.groupBy("term").agg(F.min(F.struct("idx", "op")).alias("f")).select("term", "f.idx", (F.col("f.op") == 0).alias("ok"))
+
+
+def numbered(log: DataFrame, commands: DataFrame, term: int) -> DataFrame:
+    """(idx, term, op, k, v): commands (seq, op, k, v) as the entries that a leader appends, in order of seq. Counts of
+    ranges of seq are added up first, so no task orders all commands."""
+    spread = commands.agg(F.ceil(F.sqrt(F.count("*"))).alias("w"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / F.greatest("w", F.lit(1))), F.lit(1))
+    c = commands.crossJoin(F.broadcast(spread.select("lo", width.alias("width")))).withColumn("part", F.floor((F.col("seq") - F.col("lo")) / F.col("width")))  # one row
+    parts = c.groupBy("part").agg(F.count("*").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    last = F.broadcast(log.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last")))  # one row
+    c = c.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy("seq"))).join(parts, "part").crossJoin(last)
+    return c.select((F.col("last") + F.col("base") + F.col("own")).alias("idx"), F.lit(term).cast("long").alias("term"), "op", "k", "v")
+
+
+def matched(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(id, status, value) of every request, by the response of its id: status is null where none came. Responses of ids
+    that nobody asked for go; of several for one id the first counts (by `at`)."""
+    first = responses.groupBy("id").agg(F.min_by(F.struct("status", "value"), "at").alias("r"))
+    return requests.select("id").distinct().join(first, "id", "left").select("id", "r.status", "r.value")
+
+
+def limits(log: DataFrame, known: tuple[int, ...] = (0, 1, 2), longest: int = 1 << 20, first: int = 1, last: int | None = None) -> DataFrame:
+    """(node, idx, what) of entries with an unknown operation, content over the limit, or an index outside of first..last
+    (the entry after the snapshot, and the end of the log)."""
+    rules = {
+        "unknown_op": ~F.col("op").isin(*known),
+        "too_long": F.octet_length("k") + F.octet_length("v") > longest,
+        "past_bounds": (F.col("idx") < first) | (F.lit(False) if last is None else F.col("idx") > last),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    return log.select("node", "idx", F.explode(found).alias("what"))

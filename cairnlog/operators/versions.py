@@ -62,10 +62,13 @@ def merge_layers(layers: DataFrame) -> DataFrame:
     return layers.groupBy("k").agg(F.max_by(F.struct("layer", "op", "v"), F.struct("layer", "seq")).alias("w")).select("k", "w.*")
 
 
-def running_bytes(log: DataFrame, shard: int = 1000) -> DataFrame:
-    """(seq, total): bytes written so far. Sums of ranges of seq are added up first, so no task sorts the whole log."""
+def running_bytes(log: DataFrame) -> DataFrame:
+    """(seq, total): bytes written so far. The span of seq is cut into as many ranges as a range is long, about the square
+    root of the number of rows, and sums of ranges are added up first, so no task sorts the whole log."""
     size = (F.octet_length("k") + F.octet_length("v")).cast("long")
-    rows = log.select("seq", size.alias("b"), F.floor((F.col("seq") - 1) / shard).alias("part"))
+    span = log.agg(F.min("seq").alias("lo"), F.ceil(F.sqrt(F.max("seq") - F.min("seq") + 1)).alias("width"))
+    rows = log.select("seq", size.alias("b")).crossJoin(F.broadcast(span))  # one row
+    rows = rows.select("seq", "b", F.floor((F.col("seq") - F.col("lo")) / F.col("width")).alias("part"))
     parts = rows.groupBy("part").agg(F.sum("b").alias("s"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))

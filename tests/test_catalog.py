@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cairnlog.plans import catalog
+from cairnlog.plans import audits, catalog  # noqa: F401
 
 
 def plain(v):
