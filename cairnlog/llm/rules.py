@@ -1,16 +1,20 @@
 """Operator 2: quality rules with adaptive thresholds, in DataFrame functions only.
 
-Document statistics are one projection. Their distributions per language and source are KLL quantile sketches
-(partial sketches merge before and after the shuffle, so a hot source costs no more than another). Quantiles of a
-group are blended with those of its language, and those of a language with those of all, by the number of documents.
-A fence lies around the group's own median, as far as the group's quartile or the language's tail is wide, and a join
+Document statistics are one projection. Their distributions per language and source are quantile sketches of logarithmic
+buckets: a sketch is the counts of its buckets, so sketches merge by adding counts, before and after the shuffle (a hot
+source costs no more than another), in any order with the same result, and a quantile is right within `ERROR` of its
+value. The same documents always get the same fences. Quantiles of a group are blended with those of its language, and those of a language with those of all, by the number of documents.
+A fence lies around the group's own median, as far as the group's quartile or the language's tail is wide (or a bucket), and a join
 on the small table of fences filters. The median and quartile withstand junk in up to a quarter of a group, the tail
 in up to 1 - `level` of a language. No rate is fixed: what is left beside the sketches is a few occurrences.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlog.llm import common
@@ -21,7 +25,10 @@ LOWER = {"mean_word": 0.1}
 #: Statistic -> occurrences that a short text may have beyond its fence, and what they are counted in. One repeat of eight words covers 16.
 SLACK = {"symbol_rate": (2, "n_words"), "dup_line_rate": (1, "n_lines"), "repeat_rate": (16, "n_words"), "stutter_rate": (2, "n_words")}
 #: A fence is `FENCE` widths away; a parent's quantiles weigh as much as `LEAST_DOCS` documents.
-FENCE, LEAST_DOCS, SKETCH_K = 5.0, 25, 400
+FENCE, LEAST_DOCS, ERROR = 5.0, 25, 0.0005
+#: Ratio of neighbouring bucket edges for that error.
+RATIO = (1 + ERROR) / (1 - ERROR)
+ZERO = -1_000_000  # the bucket of zero
 
 
 def sized(words: str) -> Column:
@@ -75,19 +82,38 @@ def rates(stats: DataFrame) -> DataFrame:
     })
 
 
+def bucket_of(x: Column) -> Column:
+    """The sketch bucket of a value that is not negative: b holds RATIO^(b - 1) < x <= RATIO^b."""
+    return F.when(x > 0, F.ceil(F.log(x) / math.log(RATIO)).cast("int")).otherwise(ZERO)
+
+
+def value_of(bucket: Column) -> Column:
+    """The value that stands for a bucket."""
+    return F.when(bucket == ZERO, 0.0).otherwise(F.pow(F.lit(RATIO), bucket) * (2 / (RATIO + 1)))
+
+
+def quantiles(sketch: DataFrame, by: list[str], levels: dict[str, list[float]]) -> DataFrame:
+    """(by..., n, <stat>_<percent>...) from sketch rows (by..., stat, bucket, c), merged over all other columns. A level's
+    quantile is the first bucket at which that share of the count is reached."""
+    merged = sketch.groupBy(*by, "stat", "bucket").agg(F.sum("c").alias("c"))
+    group = W.partitionBy(*by, "stat")  # at most some ten thousand buckets, whatever the count
+    ranked = merged.withColumns({"n": F.sum("c").over(group), "upto": F.sum("c").over(group.orderBy("bucket"))})
+    at = lambda c, p: F.min(F.when((F.col("stat") == c) & (F.col("upto") >= p * F.col("n")), value_of(F.col("bucket"))))
+    return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[at(c, p).alias(f"{c}_{int(p * 100)}") for c in levels for p in levels[c]])
+
+
 def fences(rated: DataFrame) -> DataFrame:
     """lang, source, hi_<rate>, lo_<rate>: per language and source, from the documents that pass the base rules."""
     names = list(UPPER)
     levels = {c: sorted({0.25, 0.5, 0.75, UPPER[c], LOWER.get(c, 0.5)}) for c in names}
-    own = rated.where(~F.col("base_failed")).groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in names]
-    )
-    merged = lambda by: own.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in names])
-    q = lambda c, at: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(c), F.lit(at)))
-    quantiles = F.struct("n", *[q(c, at).alias(f"{c}_{int(at * 100)}") for c in names for at in levels[c]])
-    lang = merged(["lang"]).select(F.col("lang").alias("lang_l"), quantiles.alias("of_lang"))
-    every = merged([]).select(quantiles.alias("of_all"))
-    own = own.select("lang", "source", quantiles.alias("own"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), bucket_of(F.col(c)).alias("bucket")) for c in names])).alias("x")
+    sketch = rated.where(~F.col("base_failed")).select("lang", "source", each).select("lang", "source", "x.*")
+    sketch = sketch.groupBy("lang", "source", "stat", "bucket").agg(F.count("*").alias("c"))
+    merged = lambda by: quantiles(sketch, by, levels)
+    columns = F.struct("n", *[f"{c}_{int(p * 100)}" for c in names for p in levels[c]])
+    lang = merged(["lang"]).select(F.col("lang").alias("lang_l"), columns.alias("of_lang"))
+    every = merged([]).select(columns.alias("of_all"))
+    own = merged(["lang", "source"]).select("lang", "source", columns.alias("own"))
     groups = rated.select("lang", "source").distinct()
     g = groups.alias("g").join(own.alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
     g = g.select("g.lang", "g.source", "o.own")
@@ -100,7 +126,7 @@ def fences(rated: DataFrame) -> DataFrame:
     of_lang = lambda c, at: blended("of_lang", f"{c}_{int(at * 100)}", F.col("of_all")[f"{c}_{int(at * 100)}"])
     of_own = lambda c, at: blended("own", f"{c}_{int(at * 100)}", of_lang(c, at))
     far = lambda c, side, tail: FENCE * F.greatest(
-        F.abs(of_own(c, side) - of_own(c, 0.5)), F.abs(of_lang(c, tail) - of_lang(c, 0.5))
+        F.abs(of_own(c, side) - of_own(c, 0.5)), F.abs(of_lang(c, tail) - of_lang(c, 0.5)), 2 * ERROR * of_own(c, 0.5)
     )
     return g.select(
         "lang", "source",
@@ -113,7 +139,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """Statistics, base_failed and kept of every row of `docs`.
 
     Null lang and null source are groups of their own. If no document passes the base rules there is no fence and
-    none is kept. An empty table gives an empty result.
+    none is kept. Repeated rows and null ids are judged like others, columns beyond doc_id, text, lang and source are not
+    read, and an empty table gives an empty result. Windows of eight words are compared by 64-bit hashes, so two
+    different ones of a text count as equal with a chance of 2^-64 for each pair.
     """
     rated = rates(common.materialize(statistics(docs), "rule_statistics"))
     limits = fences(rated)

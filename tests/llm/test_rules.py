@@ -1,8 +1,11 @@
 """Fences of the quality rules follow what is usual in a group."""
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 
-from cairnlog.llm import rules
+from cairnlog.llm import common, rules
 
 
 def test_fences_differ_between_groups(spark):
@@ -24,3 +27,54 @@ def test_fences_change_smoothly_with_the_count(spark):
         return next(r.hi_symbol_rate for r in rules.fences(d).collect() if r.source == "own")
 
     assert abs(fence(100) - fence(99)) < 0.01 and fence(20) < fence(100)
+
+
+def plain_quantile(values, p):
+    """The value of the bucket in which the share p of the values is reached."""
+    bucket = lambda x: math.ceil(math.log(x) / math.log(rules.RATIO)) if x > 0 else None
+    counts, upto = Counter(map(bucket, values)), 0
+    for b in sorted(counts, key=lambda b: -(10**9) if b is None else b):
+        upto += counts[b]
+        if upto >= p * len(values):
+            return 0.0 if b is None else rules.RATIO**b * 2 / (rules.RATIO + 1)
+
+
+def test_verdicts_equal_a_plain_recomputation(spark, sf):
+    rows = [r.asDict() for r in rules.judge(common.table(spark, sf, "documents")).collect()]
+    good = [r for r in rows if not r["base_failed"]]
+    of = defaultdict(list)
+    for r in good:
+        for key in ((r["lang"], r["source"]), (r["lang"],), ()):
+            of[key].append(r)
+
+    def at(key, c, p):
+        parent = at(key[:-1], c, p) if key else None
+        q = plain_quantile([r[c] for r in of[key]], p) if of[key] else None
+        return q if not key else parent if q is None else (len(of[key]) * q + rules.LEAST_DOCS * parent) / (len(of[key]) + rules.LEAST_DOCS)
+
+    def far(r, c, side, tail):
+        own, lang = (r["lang"], r["source"]), (r["lang"],)
+        return rules.FENCE * max(abs(at(own, c, side) - at(own, c, 0.5)), abs(at(lang, c, tail) - at(lang, c, 0.5)), 2 * rules.ERROR * at(own, c, 0.5))
+
+    assert good and len(of) > 10
+    for r in rows:
+        kept = not r["base_failed"]
+        for c, tail in rules.UPPER.items():
+            fence = at((r["lang"], r["source"]), c, 0.5) + far(r, c, 0.75, tail)
+            assert abs(fence - r[f"hi_{c}"]) < 1e-9
+            n, unit = rules.SLACK.get(c, (0, "n_words"))
+            kept = kept and r[c] is not None and r[c] <= fence + (n / r[unit] if r[unit] else 0) + 1e-12
+        fence = at((r["lang"], r["source"]), "mean_word", 0.5) - far(r, "mean_word", 0.25, rules.LOWER["mean_word"])
+        assert r["kept"] == (kept and r["mean_word"] >= fence - 1e-12)
+
+
+def test_fences_do_not_depend_on_the_run(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    one, two = ({tuple(r) for r in rules.judge(d).select("doc_id", "kept", "hi_symbol_rate", "lo_mean_word").collect()} for d in (docs, docs.repartition(7)))
+    assert one == two
+
+
+def test_sketch_error(spark):
+    x = np.random.default_rng(19).lognormal(0, 2, 5000)
+    d = spark.createDataFrame([(float(v),) for v in x], "v double").select(rules.value_of(rules.bucket_of(rules.F.col("v"))).alias("s"), "v")
+    assert all(abs(r.s - r.v) <= rules.ERROR * 1.0001 * r.v for r in d.collect())
