@@ -212,7 +212,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
                 out.append(b"".join(map(bytes_of, flat[offs[k] : offs[k + 1]].tolist())) if col[k].is_valid else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, common.with_columns(encoded.schema, "decoded binary"))
+    return common.map_arrow(encoded, run, common.with_columns(encoded.schema, "decoded binary"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from cairnlog.sources.scratch import shared_root
 
@@ -101,3 +101,15 @@ def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
 def blank(column: str) -> Column:
     """Whether a text is null or has no word."""
     return F.length(F.translate(F.coalesce(F.col(column), F.lit("")), SPACE, "")) == 0
+
+
+def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, such as ones with dots or backquotes: `run` works by position."""
+    short = lambda names: [f"c{k}" for k, _ in enumerate(names)]
+    plain = StructType([StructField(n, f.dataType) for n, f in zip(short(schema.fields), schema.fields, strict=True)])
+    return df.toDF(*short(df.columns)).mapInArrow(run, plain).toDF(*schema.names)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever their names."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in df.columns]

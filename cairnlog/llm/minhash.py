@@ -315,12 +315,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     best = real.groupBy("top").agg(F.min(F.struct("doc_id", "t")).alias("best"))
     real = real.join(best, "top").withColumn("kept", F.struct("doc_id", "t") == F.col("best"))
     gone = common.materialize(real.where("NOT kept OR times > 1").select("doc_id", "t", F.col("kept").alias("once")), "not_all_kept")
-    name = max(["t", *docs.columns], key=len) + "_"  # no column of docs
+    name = "t" + "_" * max(map(len, docs.columns))  # no column of docs
     told = docs.withColumn(name, text_digest())
     on = lambda g: (told["doc_id"] == g["doc_id"]) & (told[name] == g["t"])
     once = gone.where("once")
     kept = told.join(gone, on(gone), "left_anti").unionByName(told.join(once, on(once), "left_semi").dropDuplicates(["doc_id", name]))
-    return kept.select(docs.columns)
+    return kept.select(common.columns(docs))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

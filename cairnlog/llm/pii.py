@@ -176,7 +176,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 texts = pa.array([redact_text(t, spans(t)) for t in chunk.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(chunk.columns)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,7 +188,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 new = [pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*chunk.columns, *new], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, common.with_columns(docs.schema, "score double, predicted int"))
+    return common.map_arrow(docs, run, common.with_columns(docs.schema, "score double, predicted int"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

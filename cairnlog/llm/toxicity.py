@@ -163,7 +163,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
                 new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0] >= CUT)]
                 yield pa.RecordBatch.from_arrays([*chunk.columns, *new], [*names, "severity", "p_toxic", "grade", "toxic"])
 
-    return docs.mapInArrow(run, common.with_columns(docs.schema, "severity double, p_toxic double, grade int, toxic boolean"))
+    return common.map_arrow(docs, run, common.with_columns(docs.schema, "severity double, p_toxic double, grade int, toxic boolean"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The registered queries against their contracts, on a small table with nulls, empty and repeated rows and odd columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,9 +171,15 @@ def test_bpe(spark, odd_sf, rows):
     assert Counter(tuple(r) for r in QUERIES["op6_bpe"](spark, odd_sf).collect()) == want
 
 
+def word_set(text, width):
+    """Shingles as tuples of words: shares nothing with the operator."""
+    w = re.findall("[^ \t\n\v\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
 def groups(rows, width, percent=80):
     """Brute force: every pair of distinct sets."""
-    sets = {i: minhash.shingles(t, width) for i, t in rows}
+    sets = {i: word_set(t, width) for i, t in rows}
     top = {i: i for i in sets}
 
     def find(x):
@@ -180,12 +187,15 @@ def groups(rows, width, percent=80):
             x = top[x]
         return x
 
-    ids = sorted(sets)
+    ids = sorted(i for i in sets if sets[i])
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if len(sets[a]) and len(sets[b]) and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])) and minhash.similar(sets[a], sets[b], percent):
-                x, y = sorted((find(a), find(b)))
-                top[y] = x
+            x, y = len(sets[a]), len(sets[b])
+            if 100 * min(x, y) >= percent * max(x, y):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (x + y - both):
+                    p, q = sorted((find(a), find(b)))
+                    top[q] = p
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
@@ -211,6 +221,56 @@ def test_near_duplicates_of_a_hot_group(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, width)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """doc_ids on several rows neither lose texts nor save copies; odd rows and odd column names stay."""
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long), (5, long), (5, "quite another text of its own that nobody else has at all"), (9, "twice the same row as it is here"), (9, "twice the same row as it is here")]
+    rows += [(None, long), (None, long), (20, None), (20, None), (21, ""), (22, " \n"), (30, "Short"), (31, "short"), (32, "short short")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `we``ird, t_` int").repartition(3)
+    got = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, long), rows[2], rows[3], (None, long), (None, long), (20, None), (20, None), (21, ""), (22, " \n"), (30, "Short"), (32, "short short")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
+def test_odd_column_names_stay(spark):
+    docs = spark.createDataFrame([(1, "some plain words", 7)], "doc_id long, text string, `we``ird; x` int")
+    model = quality.fit([], [], (0, 0))
+    model.blank = 0.25
+    assert quality.classify(docs, model).first()[2] == 7
+    assert toxicity.grade(docs, toxicity.Model({}, np.zeros(0), np.arange(1.0, 4))).first()[2] == 7
+    assert pii.redact(docs).first()[2] == 7
+    blanks = spark.createDataFrame([(1, None), (2, ""), (3, " \t\n"), (4, "x")], "doc_id long, text string")
+    assert [r.score for r in quality.classify(blanks, model).orderBy("doc_id").collect()] == [0.25, 0.25, 0.25, 0.5]
+
+
+def test_votes_equal_plain_neighbours(spark, sf):
+    """Scores of op3 from all cosines of one document at a time, in double precision."""
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = quality.learn(docs, labels, common.fold(F.col("doc_id"), 5) != 0)
+    got = {r.doc_id: r.score for r in QUERIES["op3_quality"](spark, sf).collect()}
+    v, near = model.vectors.astype(np.float64), 0
+    for r in docs.limit(60).collect():
+        c = quality.term_counts(r.text)
+        x = np.sqrt(c / max(c.sum(), 1)) * model.weights
+        x = (x / max(np.linalg.norm(x), 1e-12)) @ model.axes
+        cos = v @ (x / max(np.linalg.norm(x), 1e-12))
+        best = np.argsort(-cos, kind="stable")[: quality.NEIGHBOURS]
+        w = np.maximum(cos[best], 0) ** quality.SHARPNESS * model.votes[best]
+        near += abs(got[r.doc_id] - (w * model.labels[best]).sum() / w.sum()) < 1e-3 if common.words(r.text) else got[r.doc_id] == model.blank
+    assert near >= 58  # equal cosines may be cut elsewhere
+
+
+def test_equal_texts_with_two_labels_give_one_model(spark):
+    rng = np.random.default_rng(20)
+    texts = [" ".join(("nasty" if k % 3 == 0 else "plain") + str(rng.integers(9)) for _ in range(12)) for k in range(120)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(500 + k, t) for k, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 and i < 500)) for i, _ in rows], "doc_id long, toxic int")
+    one, two = (toxicity.learn(d, labels) for d in (docs.repartition(5), docs.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert one.index == two.index and (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all()
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
