@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and blank texts score 0 and go. Repeated rows and null ids are judged by their text like others; extra
     columns of any name stay as they are."""
     model = quality.learn(docs, common.table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.classify(docs, model).where("predicted = 1").select(common.columns(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null, empty and blank texts hold no toxic word and stay. Repeated rows and null ids are judged by their text like
     others; extra columns of any name stay as they are."""
     model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.grade(docs, model).where("NOT toxic").select(docs.columns)
+    return toxicity.grade(docs, model).where("NOT toxic").select(common.columns(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +36,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by doc_id and text: a doc_id on several rows loses no other text and keeps no second copy. Rows
     with a null doc_id and rows of null, empty or wordless texts stay."""
-    return minhash.distinct_documents(docs).select(docs.columns)
+    return minhash.distinct_documents(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: personal data gives way to its kind in angle brackets; n_chars follows the text (null for null).
 
     Every row stays, repeated ones and those with null ids too."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(common.columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
