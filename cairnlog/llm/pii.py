@@ -30,18 +30,31 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOGIN = re.compile(r"[^\s/@:]{1,64}:[^\s/@]{1,128}(?=@[A-Za-z0-9])")
+_LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@[A-Za-z0-9])")
 _IBAN = re.compile(r"[ :=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?i:[ .]{0,2}(?:number|nummer|no|nr|num|número|numéro))?[ .:=#]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
 _SSN = re.compile(r"[ :=#]{1,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
-_SECRET = re.compile(r"[ ]{0,2}[:=][ ]{0,2}[\"']?([A-Za-z0-9_\-+/]{16,256})(?![A-Za-z0-9_\-+/])")
-_STREET = re.compile(r"[0-9]{1,5} (?:[A-Z][a-zà-ÿ]{1,20} ){1,3}\Z")
+_SECRET = re.compile(r"[ ]{0,2}[:=][ ]{0,2}[\"']?([A-Za-z0-9_\-+/]{16,}(?:\.[A-Za-z0-9_\-+/]{8,})*)(?![A-Za-z0-9_\-+/])")
+_NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]{1,24}"
+#: What stands before and after a street cue, by order of parts: the span goes from the first to the last of them.
+_ORDERS = {
+    "number_name_cue": (re.compile(r"[0-9]{1,5} (?:[A-Z][a-zà-ÿ]{1,20} ){1,3}\Z"), re.compile(r"(?![^\W_])")),
+    "number_cue_name": (re.compile(r"(?<![\w.,])[0-9]{1,4}(?: ?(?:bis|ter))?,? \Z"), re.compile(rf"(?: (?:de|du|des|la|le|les|aux?))*(?: [dl]['’]| ){_NAME}(?:[ -]{_NAME}){{0,3}}")),
+    "cue_name_number": (re.compile(r"(?<!\w)\Z"), re.compile(rf"(?: (?:de|del|la|las|los|el))* {_NAME}(?:(?: (?:de|del|la|y))* {_NAME}){{0,3}},? (?:n\.? ?º ?|núm\. ?)?[0-9]{{1,4}}(?![\w]|[.,][0-9])")),
+    "name_cue_number": (re.compile(rf"(?<!\w){_NAME}[ -]?\Z"), re.compile(r" [0-9]{1,4}[a-h]?(?!\w|[.,][0-9])")),
+}
+_STREETS = {
+    "number_name_cue": ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "St", "Ave", "Rd", "Blvd", "STREET", "AVENUE", "ROAD", "LANE", "BOULEVARD"),
+    "number_cue_name": ("rue", "avenue", "boulevard", "chemin", "impasse", "quai", "Rue", "Avenue", "Boulevard", "Chemin", "Impasse", "Quai"),
+    "cue_name_number": ("calle", "avenida", "plaza", "paseo", "Calle", "Avenida", "Plaza", "Paseo"),
+    "name_cue_number": ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "Straße", "Strasse", "Str.", "Weg", "Platz", "Gasse", "Allee"),
+}
+_NEARBY = 72  # characters: the longest that can stand before a cue
 _CUES = {
     "account": ("account", "acct", "konto", "cuenta", "compte"),
     "iban": ("iban",),
     "ssn": ("ssn", "social security number"),
     "secret": ("token", "api_key", "apikey", "secret", "password"),
-    "address": ("street", "avenue", "road", "lane", "boulevard"),
 }
 _PARSE = {"account": _ACCOUNT, "iban": _IBAN, "ssn": _SSN, "secret": _SECRET}
 
@@ -57,6 +70,8 @@ def anchors() -> ahocorasick.Automaton:
         for cue in cues:
             for form in (cue, cue.title(), cue.upper()):
                 found.add_word(form, (kind, len(form)))
+    for cue in {c for cues in _STREETS.values() for c in cues}:
+        found.add_word(cue, ("address", len(cue)))
     found.make_automaton()
     return found
 
@@ -79,6 +94,16 @@ def iban_holds(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def address(text: str, begin: int, end: int) -> tuple[int, int] | None:
+    """The address around the street cue at begin..end, in the first order of its parts that fits."""
+    cue, nearby = text[begin:end], text[max(0, begin - _NEARBY) : begin]
+    for order, (before, after) in _ORDERS.items():
+        if cue in _STREETS[order] and (b := after.match(text, end)) and (a := before.search(nearby)):
+            if order != "name_cue_number" or cue[0].islower() != a[0].endswith((" ", "-")):  # "Mühlweg", "Lange Straße", not "Lange straße"
+                return begin - len(nearby) + a.start(), b.end()
+    return None
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, sorted by kind as listed in KINDS, then start."""
     if not text:
@@ -116,12 +141,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if m := _LOGIN.match(text, at + 1):
                 found.setdefault("url_login", []).append(m.span())
         elif what == "address":
-            begin = at + 1 - size
-            nearby = text[max(0, begin - 72) : begin]
-            if m := _STREET.search(nearby):
-                after = text[at + 1 : at + 2]
-                if not after.isalnum() and text[begin].isupper():
-                    found.setdefault("address", []).append((begin - len(nearby) + m.start(), at + 1))
+            if span := address(text, at + 1 - size, at + 1):
+                found.setdefault("address", []).append(span)
         else:
             before = text[at - size : at - size + 1] if at >= size else ""
             if not before.isalnum() and (m := _PARSE[what].match(text, at + 1)):

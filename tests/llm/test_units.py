@@ -97,6 +97,25 @@ def test_added_kinds_and_redaction():
     assert pii.spans(None) == pii.spans("") == []
 
 
+def test_addresses_of_four_languages():
+    held = {
+        "lives at 12 Old Mill Road, so": "12 Old Mill Road", "at 7 High St. and": "7 High St", "AT 99 Main STREET": "99 Main STREET",
+        "wohnt Hauptstraße 12a, und": "Hauptstraße 12a", "in der Lange Straße 5.": "Lange Straße 5", "am Mühlweg 3": "Mühlweg 3", "Karl-Marx-Allee 140": "Karl-Marx-Allee 140",
+        "Lindenstr. 8": "Lindenstr. 8", "au 12, rue de la Paix et": "12, rue de la Paix", "5 bis avenue Victor Hugo": "5 bis avenue Victor Hugo", "3 rue de l'Église": "3 rue de l'Église",
+        "vive en Calle Mayor 12 y": "Calle Mayor 12", "calle de Alcalá, 45": "calle de Alcalá, 45", "Avenida de América nº 3": "Avenida de América nº 3",
+    }
+    for text, span in held.items():
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "address"] == [span], text
+    for text in ("a long road", "5 Streets", "rue de la Paix", "true 5", "Weg 3", "auf dem weg 3", "la calle 3", "calle Mayor", "Platzhalter 3", "Hauptstraße", "Version 1.5 avenue Foch", "Mühlweg 3.5"):
+        assert not [s for s in pii.spans(text) if s[0] == "address"], text
+
+
+def test_long_secrets_and_logins():
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "a1" * 300 + ".c2lnbmF0dXJlMTIz"
+    for text, kind, span in ((f"token: {jwt} end", "secret", jwt), ("token=abcd1234efgh5678. Next", "secret", "abcd1234efgh5678"), (f"https://me:{'p' * 500}@host.example/", "url_login", "me:" + "p" * 500)):
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == kind] == [span]
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(5)
     for n in (1, 2, 50, 3000):
