@@ -311,15 +311,19 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     null doc_id, and rows of null, empty and wordless texts, all stay. An empty table gives an empty result."""
     rows, classes = grouped(docs, width, percent)
     real = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "t", "key").agg(F.count("*").alias("times"))
-    real = common.materialize(real.join(classes, "key").select("doc_id", "t", "times", "top"), "told_apart")
-    best = real.groupBy("top").agg(F.min(F.struct("doc_id", "t")).alias("best"))
-    real = real.join(best, "top").withColumn("kept", F.struct("doc_id", "t") == F.col("best"))
-    gone = common.materialize(real.where("NOT kept OR times > 1").select("doc_id", "t", F.col("kept").alias("once")), "not_all_kept")
+    real = common.materialize(real.join(classes, "key").select("doc_id", "t", "times", "top", "least"), "told_apart")
+    # Only rows of a group's least doc_id can stay, so nothing is joined by the group over all of its rows.
+    best = real.where("doc_id = least").groupBy("top").agg(F.min("t").alias("best"))
+    mine = real.where("doc_id = least").join(best, "top").withColumn("once", F.col("t") == F.col("best"))
+    gone = real.where("doc_id <> least").select("doc_id", "t", F.lit(False).alias("once"))
+    gone = common.materialize(gone.unionByName(mine.where("NOT once OR times > 1").select("doc_id", "t", "once")), "not_all_kept")
     name = "t" + "_" * max(map(len, docs.columns))  # no column of docs
     told = docs.withColumn(name, text_digest())
-    on = lambda g: (told["doc_id"] == g["doc_id"]) & (told[name] == g["t"])
+    known = told["doc_id"].isNotNull() & told[name].isNotNull()
+    sure = told.where(known)  # the same rows and columns on both sides below, so texts are shuffled at most once
+    on = lambda g: (sure["doc_id"] == g["doc_id"]) & (sure[name] == g["t"])
     once = gone.where("once")
-    kept = told.join(gone, on(gone), "left_anti").unionByName(told.join(once, on(once), "left_semi").dropDuplicates(["doc_id", name]))
+    kept = sure.join(gone, on(gone), "left_anti").unionByName(sure.join(once, on(once), "left_semi").dropDuplicates(["doc_id", name])).unionByName(told.where(~known))
     return kept.select(common.columns(docs))
 
 
