@@ -161,7 +161,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) ->
 
 
 def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between nodes (node, doc_id, key, bands) that share a band; they join the same nodes as all
+    """Verified links (a, b) between nodes (node, doc_id, t, bands) that share a band; they join the same nodes as all
     links between those would.
 
     The lead of a band is the member that shares most bands with others, so usually the text that the rest of the
@@ -170,7 +170,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     multi = common.materialize(rows.join(shared, "band"), "shared_bands")
     most = multi.groupBy("node").agg(F.sum("c").alias("met"))
-    sets = common.materialize(full_sets(docs, nodes.select("node", "doc_id", "key").join(most, "node", "left_semi"), width), "sets")
+    sets = common.materialize(full_sets(docs, nodes.select("node", "doc_id", "t").join(most, "node", "left_semi"), width), "sets")
     rank = F.struct("met", (-F.col("node")).alias("least"))
     leads = multi.join(most, "node").groupBy("band").agg(F.max_by("node", rank).alias("a"), F.max("met").alias("top"))
     leads = common.materialize(leads, "leads")
@@ -246,19 +246,21 @@ class Joined(dict):
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, elements binary, sketch binary) of the nodes (node, doc_id, key), from the documents that stand for them."""
+    """(node, elements binary, sketch binary) of the nodes (node, doc_id, t), from the texts that stand for them.
+
+    Equal rows become one before and after the one shuffle of texts; the join keeps that partitioning, and sets are made
+    behind it, so no set is shuffled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in slices(batch, 1, BYTES):
                 sets = list(shingle_sets(chunk.column(1), width))
-                columns = [[digest(s) for s in sets], [s.tobytes() for s in sets], [x.tobytes() for x in short(sketches(sets))]]
-                yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "key", "elements", "sketch"])
+                columns = [[s.tobytes() for s in sets], [x.tobytes() for x in short(sketches(sets))]]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["node", "elements", "sketch"])
 
-    texts = docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = texts.mapInArrow(run, "doc_id long, key binary, elements binary, sketch binary")
-    # One of several equal rows; they are equal, so the first is as good as any.
-    return found.join(nodes, ["doc_id", "key"]).groupBy("node").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", text_digest().alias("t"))
+    texts = texts.groupBy("doc_id", "t").agg(F.first("text").alias("text"))  # equal rows, so any is right
+    return texts.join(nodes, ["doc_id", "t"]).select("node", "text").mapInArrow(run, "node long, elements binary, sketch binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -276,9 +278,9 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     docs = docs.select("doc_id", "text")
     signs = common.materialize(signatures(docs, width), "signatures")
     real = signs.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = real.groupBy("key").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("w"))
+    nodes = real.groupBy("key").agg(F.min_by(F.struct("doc_id", "t", "bands"), "doc_id").alias("w"))
     # The number of a node is drawn once, when this table is written.
-    nodes = common.materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "w.doc_id", "w.bands"), "nodes")
+    nodes = common.materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "w.doc_id", "w.t", "w.bands"), "nodes")
     joined = links(docs, nodes, width, percent)
     label = components(joined)
     classes = nodes.select("node", "key", "doc_id").join(label, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("top"))
