@@ -22,12 +22,12 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = common.materialize(large.distinct(), "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        small = common.join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         new = common.materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small_star")
-        step = new.join(edges.withColumn("old", F.lit(1)), ["u", "v"], "full").agg(
+        step = common.join(new, edges.withColumn("old", F.lit(1)), ["u", "v"], "full").agg(
             F.count(F.when(F.col("old").isNull(), 1)).alias("added"), F.count("*").alias("n"), F.count("old").alias("olds")
         )
         row = step.first()

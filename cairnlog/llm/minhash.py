@@ -140,9 +140,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) ->
     The partners of an `a` are dealt out in blocks, and its set is sent once to each block, so neither a task nor the
     shuffle depends on how many partners one node has."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    partners = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    partners = common.join(pairs, size, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
     leads = size.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("role"))
-    dealt = partners.unionByName(leads).join(sets.select("node", "elements"), "node").select("a", "part", "role", "node", "elements")
+    dealt = common.join(partners.unionByName(leads), sets.select("node", "elements"), "node").select("a", "part", "role", "node", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -168,13 +168,13 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     band was copied from. Every node first meets the foremost of its leads, which joins most bands at once."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    multi = common.materialize(rows.join(shared, "band"), "shared_bands")
+    multi = common.materialize(common.join(rows, shared, "band"), "shared_bands")
     most = multi.groupBy("node").agg(F.sum("c").alias("met"))
-    sets = common.materialize(full_sets(docs, nodes.select("node", "doc_id", "t").join(most, "node", "left_semi"), width), "sets")
+    sets = common.materialize(full_sets(docs, common.join(nodes.select("node", "doc_id", "t"), most, "node", "left_semi"), width), "sets")
     rank = F.struct("met", (-F.col("node")).alias("least"))
-    leads = multi.join(most, "node").groupBy("band").agg(F.max_by("node", rank).alias("a"), F.max("met").alias("top"))
+    leads = common.join(multi, most, "node").groupBy("band").agg(F.max_by("node", rank).alias("a"), F.max("met").alias("top"))
     leads = common.materialize(leads, "leads")
-    foremost = multi.join(leads, "band").groupBy("node").agg(F.max_by("a", F.struct("top", (-F.col("a")).alias("least"))).alias("a"))
+    foremost = common.join(multi, leads, "band").groupBy("node").agg(F.max_by("a", F.struct("top", (-F.col("a")).alias("least"))).alias("a"))
     stars = common.materialize(foremost.where("a != node").select("a", F.col("node").alias("b")), "stars")
     first = common.materialize(verify(stars, sets, percent), "star_links")
     label = components(first)
@@ -193,13 +193,13 @@ def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFr
     threshold), then full sets decide; of the links those that join something new are given."""
     own = label.withColumnsRenamed({"node": "b", "component": "own"})
     lead = label.withColumnsRenamed({"node": "a", "component": "g"})
-    m = bands.join(own, "b", "left").select("band", "b", F.coalesce("own", "b").alias("own"))
+    m = common.join(bands, own, "b", "left").select("band", "b", F.coalesce("own", "b").alias("own"))
     mixed = m.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi")
-    mixed = mixed.join(leads, "band").join(lead, "a", "left").select("band", F.coalesce("g", "a").alias("g"))
-    m = common.materialize(m.join(mixed, "band").select("g", "b", "own").distinct(), "apart")
+    mixed = common.join(common.join(mixed, leads, "band"), lead, "a", "left").select("band", F.coalesce("g", "a").alias("g"))
+    m = common.materialize(common.join(m, mixed, "band").select("g", "b", "own").distinct(), "apart")
     apart = F.col("own") != F.col("g")
     size = m.groupBy("g").agg(F.ceil(F.count("*") / block).alias("mb"), F.ceil(F.count(F.when(apart, 1)) / block).alias("sb"))
-    asked = m.join(size.where("sb > 0"), "g").withColumn("at", F.xxhash64("b"))
+    asked = common.join(m, size.where("sb > 0"), "g").withColumn("at", F.xxhash64("b"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_of = asked.select("g", F.pmod("at", "mb").alias("i"), each("sb").alias("j"), F.lit(False).alias("single"), "b", "own")
     singles = asked.where(apart).select("g", each("mb").alias("i"), F.pmod("at", "sb").alias("j"), F.lit(True).alias("single"), "b", "own")
@@ -221,7 +221,7 @@ def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFr
                     found.append((min(b[k], b[i]), max(b[k], b[i])))
         return pa.table({c: pa.array([f[at] for f in found], pa.int64()) for at, c in enumerate("ab")})
 
-    dealt = all_of.unionByName(singles).join(sets.withColumnRenamed("node", "b"), "b")
+    dealt = common.join(all_of.unionByName(singles), sets.withColumnRenamed("node", "b"), "b")
     out = common.materialize(dealt.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "leftover_links")
     common.discard(m)
     return out
@@ -260,7 +260,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", text_digest().alias("t"))
     texts = texts.groupBy("doc_id", "t").agg(F.first("text").alias("text"))  # equal rows, so any is right
-    return texts.join(nodes, ["doc_id", "t"]).select("node", "text").mapInArrow(run, "node long, elements binary, sketch binary")
+    return common.join(texts, nodes, ["doc_id", "t"]).select("node", "text").mapInArrow(run, "node long, elements binary, sketch binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -283,9 +283,9 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     nodes = common.materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "w.doc_id", "w.t", "w.bands"), "nodes")
     joined = links(docs, nodes, width, percent)
     label = components(joined)
-    classes = nodes.select("node", "key", "doc_id").join(label, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("top"))
+    classes = common.join(nodes.select("node", "key", "doc_id"), label, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("top"))
     least = classes.groupBy("top").agg(F.min("doc_id").alias("least"))
-    classes = common.materialize(classes.join(least, "top").select("key", "top", "least"), "classes")
+    classes = common.materialize(common.join(classes, least, "top").select("key", "top", "least"), "classes")
     common.discard(nodes, joined, label)
     return signs.select("doc_id", "t", "n", "key"), classes
 
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty result.
     """
     rows, classes = grouped(docs, width, percent)
-    out = rows.join(classes.select("key", "least"), "key", "left")
+    out = common.join(rows, classes.select("key", "least"), "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -313,10 +313,10 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     null doc_id, and rows of null, empty and wordless texts, all stay. An empty table gives an empty result."""
     rows, classes = grouped(docs, width, percent)
     real = rows.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "t", "key").agg(F.count("*").alias("times"))
-    real = common.materialize(real.join(classes, "key").select("doc_id", "t", "times", "top", "least"), "told_apart")
+    real = common.materialize(common.join(real, classes, "key").select("doc_id", "t", "times", "top", "least"), "told_apart")
     # Only rows of a group's least doc_id can stay, so nothing is joined by the group over all of its rows.
     best = real.where("doc_id = least").groupBy("top").agg(F.min("t").alias("best"))
-    mine = real.where("doc_id = least").join(best, "top").withColumn("once", F.col("t") == F.col("best"))
+    mine = common.join(real.where("doc_id = least"), best, "top").withColumn("once", F.col("t") == F.col("best"))
     gone = real.where("doc_id <> least").select("doc_id", "t", F.lit(False).alias("once"))
     gone = common.materialize(gone.unionByName(mine.where("NOT once OR times > 1").select("doc_id", "t", "once")), "not_all_kept")
     name = "t" + "_" * max(map(len, docs.columns))  # no column of docs
@@ -325,7 +325,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     sure = told.where(known)  # the same rows and columns on both sides below, so texts are shuffled at most once
     on = lambda g: (sure["doc_id"] == g["doc_id"]) & (sure[name] == g["t"])
     once = gone.where("once")
-    kept = sure.join(gone, on(gone), "left_anti").unionByName(sure.join(once, on(once), "left_semi").dropDuplicates(["doc_id", name])).unionByName(told.where(~known))
+    kept = common.join(sure, gone, on(gone), "left_anti").unionByName(common.join(sure, once, on(once), "left_semi").dropDuplicates(["doc_id", name])).unionByName(told.where(~known))
     return kept.select(common.columns(docs))
 
 

@@ -233,6 +233,18 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
 
 
+def test_near_duplicates_broadcast_nothing(spark, sf):
+    """No table that grows with the rows goes through the driver, whatever size Spark takes it for."""
+    docs, limit = common.table(spark, sf, "documents"), "spark.sql.maxBroadcastTableSize"
+    want = (docs.select("doc_id").count(), corpus_pipeline.dedup_stage(spark, docs, sf).count())
+    spark.conf.set(limit, "1b")
+    try:
+        got = (minhash.near_duplicates(docs).count(), corpus_pipeline.dedup_stage(spark, docs, sf).count())
+    finally:
+        spark.conf.unset(limit)
+    assert got == want
+
+
 def test_odd_column_names_stay(spark):
     docs = spark.createDataFrame([(1, "some plain words", 7)], "doc_id long, text string, `we``ird; x` int")
     model = quality.fit([], [], (0, 0))
