@@ -208,9 +208,12 @@ def numbered(log: DataFrame, commands: DataFrame, term: int) -> DataFrame:
 
 def matched(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(id, status, value) of every request, by the response of its id: status is null where none came. Responses of ids
-    that nobody asked for go; of several for one id the first counts (by `at`)."""
-    first = responses.groupBy("id").agg(F.min_by(F.struct("status", "value"), "at").alias("r"))
-    return requests.select("id").distinct().join(first, "id", "left").select("id", "r.status", "r.value")
+    that nobody asked for go; of several for one id the first counts (by `at`, which may be a struct; of those with one
+    `at` the least status, then the least value, so every run gives the same). A field that is null there comes from the
+    first response that has it, as with arg_min in SQL; a response with a null `at` does not count."""
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", "status", "value")))[c].alias(c)
+    told = responses.where(F.col("at").isNotNull()).groupBy("id").agg(first("status"), first("value"))
+    return requests.select("id").distinct().join(told, "id", "left").select("id", "status", "value")
 
 
 def limits(log: DataFrame, known: tuple[int, ...] = (0, 1, 2), longest: int = 1 << 20, first: int = 1, last: int | None = None) -> DataFrame:

@@ -64,3 +64,22 @@ def test_install_keeps_empty_key(spark):
     new = spark.createDataFrame([("", "x"), ("a", "1")], "k string, v string")
     old = spark.createDataFrame([("gone", "y"), ("a", "1")], "k string, v string")
     assert {tuple(r) for r in replicas.install(new, old).collect()} == {("", 1, "x"), ("gone", 2, "")}
+
+
+def test_responses_at_one_time(spark):
+    """Of responses with equal `at` the same one counts, however the rows are ordered and dealt out."""
+    rows = [(1, 2, "b", 5), (1, 0, "c", 5), (1, 0, "a", 5), (1, 1, "z", 6), (2, 1, "x", 9), (2, 2, "y", 1), (3, 0, "stray", 1)]
+    asked = spark.createDataFrame([(1,), (2,), (4,)], "id long")
+    for given in (rows, rows[::-1]):
+        for parts in (1, 3):
+            told = spark.createDataFrame(given, "id long, status int, value string, at long").coalesce(1).repartition(parts)
+            assert {tuple(r) for r in replicas.matched(asked, told).collect()} == {(1, 0, "a"), (2, 2, "y"), (4, None, None)}
+
+
+def test_tied_responses_of_the_query(spark, tmp_path):
+    """Id 0 has two answers at tick 1: the late one is listed before the stray one. Nulls are passed over as by arg_min."""
+    from cairnlog.plans import audits
+
+    spark.createDataFrame([(k, 10 + k) for k in (0, 1, 4)] + [(5, None), (7, None)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in audits.response_match(spark, str(tmp_path)).collect()}
+    assert got == {(0, 2, "late"), (1, 1, "v11"), (4, None, None), (5, 2, "late"), (7, 1, None)}
