@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlog.llm import common
@@ -29,6 +30,7 @@ from cairnlog.llm.wordhash import mix, shingle_sets
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS  # coordinates; a pair at 0.8 shares no band with a chance of 5e-6
 BYTES = 2_000_000  # of text that is hashed at a time
+PARTS = 256  # in which the members of a group are dealt out, so that no task holds a group
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -196,10 +198,12 @@ def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFr
     m = common.join(bands, own, "b", "left").select("band", "b", F.coalesce("own", "b").alias("own"))
     mixed = m.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi")
     mixed = common.join(common.join(mixed, leads, "band"), lead, "a", "left").select("band", F.coalesce("g", "a").alias("g"))
-    m = common.materialize(common.join(m, mixed, "band").select("g", "b", "own").distinct(), "apart")
+    gathered = common.materialize(common.join(m, mixed, "band").select("g", "b", "own").distinct(), "apart")
     apart = F.col("own") != F.col("g")
-    size = m.groupBy("g").agg(F.ceil(F.count("*") / block).alias("mb"), F.ceil(F.count(F.when(apart, 1)) / block).alias("sb"))
-    asked = common.join(m, size.where("sb > 0"), "g").withColumn("at", F.xxhash64("b"))
+    m = gathered.withColumn("at", F.xxhash64("b")).withColumn("part", F.pmod("at", F.lit(PARTS)))
+    size = m.groupBy("g", "part").agg(F.count("*").alias("n"), F.count(F.when(apart, 1)).alias("s"))  # at most PARTS rows a group
+    blocks = lambda n: F.ceil(F.sum(n).over(W.partitionBy("g")) / block)
+    asked = common.join(m, size.select("g", "part", blocks("n").alias("mb"), blocks("s").alias("sb")).where("sb > 0"), ["g", "part"])
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_of = asked.select("g", F.pmod("at", "mb").alias("i"), each("sb").alias("j"), F.lit(False).alias("single"), "b", "own")
     singles = asked.where(apart).select("g", each("mb").alias("i"), F.pmod("at", "sb").alias("j"), F.lit(True).alias("single"), "b", "own")
@@ -223,7 +227,7 @@ def leftovers(bands: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFr
 
     dealt = common.join(all_of.unionByName(singles), sets.withColumnRenamed("node", "b"), "b")
     out = common.materialize(dealt.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "leftover_links")
-    common.discard(m)
+    common.discard(gathered)
     return out
 
 
