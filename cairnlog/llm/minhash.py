@@ -30,7 +30,7 @@ from cairnlog.llm.wordhash import mix, shingle_sets
 ROWS, BANDS = 6, 40
 SIZE = ROWS * BANDS  # coordinates; a pair at 0.8 shares no band with a chance of 5e-6
 BYTES = 2_000_000  # of text that is hashed at a time
-PARTS = 256  # in which the members of a group are dealt out, so that no task holds a group
+PARTS = 256  # in which the members of a group or the partners of a node are dealt out, so that no task holds them all
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -142,7 +142,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) ->
     The partners of an `a` are dealt out in blocks, and its set is sent once to each block, so neither a task nor the
     shuffle depends on how many partners one node has."""
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    partners = common.join(pairs, size, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    spread = pairs.withColumn("at", F.xxhash64("b")).withColumn("dealt", F.pmod("at", F.lit(PARTS)))
+    each = spread.groupBy("a", "dealt").agg(F.count("*").alias("n"))  # at most PARTS rows a node
+    each = each.select("a", "dealt", F.ceil(F.sum("n").over(W.partitionBy("a")) / block).alias("blocks"))
+    partners = common.join(spread, each, ["a", "dealt"]).select("a", F.pmod("at", "blocks").alias("part"), F.col("b").alias("node"), F.lit(1).alias("role"))
     leads = size.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("role"))
     dealt = common.join(partners.unionByName(leads), sets.select("node", "elements"), "node").select("a", "part", "role", "node", "elements")
 
